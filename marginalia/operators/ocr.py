@@ -25,9 +25,14 @@ def language_code(configured: Column) -> Column:
     return F.coalesce(F.element_at(table, first), F.nullif(first, F.lit("")), F.lit("en"))
 
 
+def _unit(value: Column) -> Column:
+    """Clamp to 0..1; null stays null (greatest and least would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+
+
 def mean_confidence(values: Column) -> Column:
     """Aggregate: mean over all recognised units, low ones included, clamped to 0..1; null if none."""
-    return F.least(F.greatest(F.avg(values), F.lit(0.0)), F.lit(1.0))
+    return _unit(F.avg(values))
 
 
 def envelope(bbox: str) -> Column:
@@ -83,7 +88,7 @@ def lines_from_quads(regions: DataFrame) -> DataFrame:
         .filter(F.coalesce(F.col("text") != "", F.lit(False)))
         .withColumns(
             {
-                "confidence": F.least(F.greatest(F.col("score").cast("double"), F.lit(0.0)), F.lit(1.0)),
+                "confidence": _unit(F.col("score").cast("double")),
                 "bbox": boxes.quad_to_box(F.col("quad"), F.col("page_width"), F.col("page_height")),
             }
         )
@@ -104,9 +109,7 @@ def pages_from_lines(lines: DataFrame, page_keys: list[str], engine: str) -> Dat
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "text"))), lambda line: line["text"]), "\n"
         ).alias("ocr_text"),
-        F.when(total > 0, F.least(F.greatest(F.sum("confidence_sum") / total, F.lit(0.0)), F.lit(1.0))).alias(
-            "ocr_confidence"
-        ),
+        F.when(total > 0, _unit(F.sum("confidence_sum") / total)).alias("ocr_confidence"),
         envelope("bbox").alias("ocr_bbox"),
         F.lit(engine).alias("ocr_engine"),
     )

@@ -732,7 +732,7 @@ def recognised_lines(spark, sf_dir):
     rows = ocr.lines_from_words(derive.words(spark, sf_dir), ["document_id", "page_number"])
     return rows.select(
         "document_id", "page_number", "par_num", "line_num", "first_pos", F.md5("text").alias("text_md5"),
-        _r6(F.col("confidence")).alias("confidence"), F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"),
+        F.round("confidence", 9).alias("confidence"), F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"),
         F.round("bbox.width", 4).alias("width"), F.round("bbox.height", 4).alias("height"),
     )
 
@@ -743,7 +743,7 @@ def recognised_page_texts(spark, sf_dir):
     keys = ["document_id", "page_number"]
     rows = ocr.pages_from_lines(ocr.lines_from_words(derive.words(spark, sf_dir), keys), keys, "tesseract")
     return rows.select(
-        "document_id", "page_number", F.md5("ocr_text").alias("text_md5"), _r6(F.col("ocr_confidence")).alias("confidence"),
+        "document_id", "page_number", F.md5("ocr_text").alias("text_md5"), F.round("ocr_confidence", 9).alias("confidence"),
         F.round("ocr_bbox.x", 4).alias("x"), F.round("ocr_bbox.y", 4).alias("y"),
         F.round("ocr_bbox.width", 4).alias("width"), F.round("ocr_bbox.height", 4).alias("height"),
     )

@@ -129,7 +129,7 @@ def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             document_id().alias("document_id"),
             page.alias("page_number"),
             F.when(page % 2 == 1, body).when(page % 4 == 0, F.substring(body, 1, 10)).otherwise("").alias("native_text"),
-            F.when((page % 2 == 0) & (page % 4 != 0), F.upper(body)).alias("ocr_text"),
+            F.when((page % 2 == 0) & (page % 4 != 0), F.replace(body, F.lit("e"), F.lit("E"))).alias("ocr_text"),
             F.when(page % 2 == 0, (F.col("doc_id") % 100) / 100.0).alias("ocr_confidence"),
             F.lit(None).cast(schemas.BBOX).alias("ocr_bbox"),
             F.lit("tesseract").alias("ocr_engine"),
