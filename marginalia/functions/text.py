@@ -17,7 +17,8 @@ WHITESPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Inside a regular-expression class; the property is many times faster than a list of ranges.
+WHITESPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SENTENCE_BREAK = rf"(?<=[.!?])[{WHITESPACE}]+"
 WORD_TOKEN = r"[a-z][a-z'-]+"
@@ -39,15 +40,25 @@ def strip(value: Column) -> Column:
 
 
 def collapse(value: Column) -> Column:
-    """Whitespace runs become one space; ends are stripped."""
-    return strip(F.regexp_replace(value, rf"[{WHITESPACE}]+", " "))
+    """Whitespace runs become one space; ends are stripped.
+
+    Splitting and joining is many times faster than a regular-expression replacement per blank.
+    """
+    return F.array_join(F.split(strip(value), rf"[{WHITESPACE}]+"), " ")
+
+
+def collapsed_prefix(value: Column, chars: int) -> Column:
+    """``collapse(value)`` cut to ``chars``: that many words always hold enough characters, so the
+    rest of a long text is not split."""
+    parts = F.split(strip(value), rf"[{WHITESPACE}]+", chars + 2)
+    return F.substring(F.array_join(F.slice(parts, 1, chars + 1), " "), 1, chars)
 
 
 def word_count(value: Column) -> Column:
     """Number of whitespace-separated words (0 for a blank string)."""
 
     def gaps(body: Column) -> Column:
-        return F.when(body == "", 0).otherwise(F.regexp_count(body, F.lit(rf"[{WHITESPACE}]+")) + 1)
+        return F.when(body == "", 0).otherwise(F.size(F.split(body, rf"[{WHITESPACE}]+")))
 
     return let(strip(value), gaps)
 
@@ -73,7 +84,12 @@ def word_tokens(value: Column) -> Column:
 
 
 def ascii_alnum_count(value: Column) -> Column:
-    return F.length(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+    return F.length(F.array_join(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0)), ""))
+
+
+def has_ascii_alnum(value: Column, minimum: int) -> Column:
+    """At least ``minimum`` ASCII letters or digits; reads no further than the last one needed."""
+    return F.rlike(value, F.lit(f"(?:[A-Za-z0-9][^A-Za-z0-9]*+){{{minimum}}}"))
 
 
 def clean_control(value: Column) -> Column:

@@ -151,6 +151,11 @@ def document_chunks(pages: Column, settings: Settings = DEFAULTS) -> Column:
     return F.slice(F.flatten(F.transform(pages, of_page)), 1, settings.max_chunks_per_document)
 
 
+def has_chunks(pages: Column) -> Column:
+    """Whether ``document_chunks`` is non-empty: some page has a non-blank character."""
+    return F.exists(pages, lambda p: tx.strip(p["text"]) != "")
+
+
 #: Room for chunk ordinals inside ``seq``; larger than any allowed ``max_chunks_per_document``.
 SEQ_STRIDE = 1_000_000
 

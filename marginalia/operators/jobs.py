@@ -113,14 +113,14 @@ def throttle_reports(reports: Column, total: Column) -> Column:
 def finish(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Final (document updates, job updates) of an ingest.
 
-    ``parsed`` needs document_id, job_id, has_content, n_chunks, fidelity_tier, page_count,
+    ``parsed`` needs document_id, job_id, has_content, has_chunks, fidelity_tier, page_count,
     probed_pages and the summary struct. A file without content fails its job; a parsed file without
     chunks leaves its job ready and its document in review.
     """
     ok = F.col("has_content")
     documents = parsed.select(
         F.col("document_id").alias("id"),
-        F.when(ok & (F.col("n_chunks") > 0), "ready").otherwise("review").alias("status"),
+        F.when(ok & F.col("has_chunks"), "ready").otherwise("review").alias("status"),
         F.when(ok, F.col("fidelity_tier")).alias("fidelity_tier"),
         F.when(ok, F.greatest("page_count", "probed_pages")).alias("pages"),
         F.when(ok, F.nullif(F.col("summary.text"), F.lit(""))).alias("summary"),

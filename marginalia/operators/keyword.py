@@ -99,19 +99,30 @@ def _finder(terms: list[str]) -> Callable[[str], Iterable[int]]:
 
 
 def _term_scorer(term_lists: list[list[str]]) -> Callable[[pa.RecordBatch], np.ndarray]:
-    vocabulary = {term: n for n, term in enumerate(dict.fromkeys(t for terms in term_lists for t in terms))}
-    wanted = np.zeros((len(term_lists), len(vocabulary)), dtype=np.float32)
+    """Scores a batch of rows for all queries: each term found in a row adds its points to the
+    queries that hold the term, so the work follows the matches and not queries x terms."""
+    holders: dict[str, list[int]] = {}
     for row, terms in enumerate(term_lists):
-        wanted[row, [vocabulary[term] for term in terms]] = 1
-    find = _finder(list(vocabulary)) if vocabulary else None
+        for term in terms:
+            holders.setdefault(term, []).append(row)
+    queries_of = [np.asarray(rows) for rows in holders.values()]
+    find = _finder(list(holders)) if holders else lambda text: []
 
     def score(batch: pa.RecordBatch) -> np.ndarray:
-        found = np.zeros((batch.num_rows, len(vocabulary)), dtype=np.float32)
-        if find is not None:
-            for name, points in (("label_lower", HAYSTACK_POINTS), ("snippet_lower", SNIPPET_POINTS)):
-                for row, text in enumerate(batch.column(name).to_pylist()):
-                    found[row, list(find(text or ""))] = points
-        return (wanted @ found.T).astype(np.float64)
+        out = np.zeros((batch.num_rows, len(term_lists)))
+        labels = batch.column("label_lower").to_pylist()
+        snippets = batch.column("snippet_lower").to_pylist()
+        in_label: dict[str, dict[int, int]] = {}
+        for row, (label, snippet) in enumerate(zip(labels, snippets, strict=True)):
+            label = label or ""
+            if label not in in_label:
+                in_label[label] = dict.fromkeys(find(label), HAYSTACK_POINTS)
+            found = in_label[label] | dict.fromkeys(find(snippet or ""), SNIPPET_POINTS)
+            if found:
+                held = [queries_of[term] for term in found]
+                points = np.repeat(list(found.values()), [len(rows) for rows in held])
+                out[row] = np.bincount(np.concatenate(held), weights=points, minlength=len(term_lists))
+        return np.ascontiguousarray(out.T)
 
     return score
 

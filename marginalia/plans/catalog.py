@@ -6,6 +6,7 @@ in ``oracle.py`` under the same key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,10 @@ from marginalia.plans import derive
 from marginalia.plans.ask import ask
 from marginalia.plans.ingest import ingest
 from marginalia.plans.search import dedupe_hits, keyword_retrieve, retrieve, search
+from marginalia.session import shared_dir, spread
 from marginalia.sources import formats as fm
 from marginalia.sources import parsers
+from marginalia.streaming import ingest as stream
 from marginalia.streaming import tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +82,6 @@ def decoded_payloads(spark, sf_dir):
 
 @query
 def html_to_text(spark, sf_dir):
-    from marginalia.session import spread
-
     rows = spread(derive.table(spark, sf_dir, "pages", "page_id", "html"), "page_id")
     return rows.select("page_id", parsers.html_text_udf("html").alias("text"))
 
@@ -197,6 +198,31 @@ def ingest_outcomes(spark, sf_dir):
     return documents.join(ended, "id")
 
 
+@query
+def office_pages(spark, sf_dir):
+    """Every document written as a Word, Excel or PowerPoint file and parsed again."""
+    files = derive.office_files(spark, sf_dir)
+    parsed = parsers.office_document(parsers.office_pages_udf("payload", "suffix"), F.col("suffix"))
+    rows = files.select("doc_id", "suffix", parsed.alias("parsed")).select(
+        "doc_id", "suffix", F.col("parsed.fidelity_tier").alias("fidelity_tier"), F.explode("parsed.pages").alias("page")
+    )
+    return rows.select(
+        "doc_id", "suffix", "fidelity_tier", F.col("page.page_number").alias("page_number"), F.md5("page.text").alias("text_md5")
+    )
+
+
+@query
+def incremental_ingest(spark, sf_dir):
+    """The corpus ingested by the stream into batch tables, then read back as current evidence."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    files = spark.readStream.schema("doc_id bigint, text string, source string").option("pathGlobFilter", "documents.parquet")
+    source = files.parquet(sf_dir)
+    parsed = derive.parsed_stream(source)
+    stream.start_ingest(parsed, root, f"{root}/checkpoint", once=True).awaitTermination()
+    rows = stream.current_evidence(spark, root)
+    return rows.select("id", "document_id", "document_name", "line_end", "seq", F.md5("snippet").alias("snippet_md5"))
+
+
 # --- summaries and vectors ---------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia import schemas
 from marginalia.operators import chunking
+from marginalia.plans import office
 from marginalia.session import spread
 from marginalia.sources import formats as fm
 
@@ -49,6 +50,11 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(documents(spark, sf_dir), F.col("text"))
 
 
+def parsed_stream(rows: DataFrame) -> DataFrame:
+    """``parsed_documents`` for a stream of corpus rows."""
+    return _parsed(rows, F.col("text"))
+
+
 def parsed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with every line made a paragraph of its own, so that word budgets matter."""
     return _parsed(documents(spark, sf_dir), F.replace("text", F.lit("\n"), F.lit("\n\n")))
@@ -117,6 +123,14 @@ def paged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.evidence_rows(rows)
 
 
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as Office files: Word, Excel and PowerPoint in turn, ten lines to a page."""
+    suffix = F.get(F.array(*[F.lit(s) for s in ("docx", "xlsx", "pptx")]), (F.col("doc_id") % 3).cast("int"))
+    pages = F.transform(page_texts(F.col("text")), lambda p: F.split(p["text"], "\n\n"))
+    rows = documents(spark, sf_dir).select("doc_id", suffix.alias("suffix"), pages.alias("pages"))
+    return rows.select("doc_id", "suffix", office.write_office_udf("pages", "suffix").alias("payload"))
+
+
 def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a native layer and a recognition result: odd pages are rich, pages divisible by 4
     have no recognised text, the other even pages have a sparse native layer."""

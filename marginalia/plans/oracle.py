@@ -376,6 +376,13 @@ FROM numbered WHERE trim(l) <> '' GROUP BY doc_id, i // 3""",
   CASE WHEN {ALNUM} >= 20 THEN 'extractive' END AS summary_method, CASE WHEN {ALNUM} >= 20 THEN 'ready' ELSE 'failed' END AS job_status,
   CASE WHEN {ALNUM} >= 20 THEN 'ready' ELSE 'failed' END AS stage, CAST(100 AS INTEGER) AS progress_pct,
   CASE WHEN {ALNUM} < 20 THEN 'no_extractable_content' END AS reason_code FROM documents""",
+    "office_pages": f"""WITH p AS (SELECT doc_id, page, ls, doc_id % 3 AS k FROM ({PAGE_LISTS}))
+SELECT doc_id, ['docx', 'xlsx', 'pptx'][k + 1] AS suffix, CASE k WHEN 0 THEN 'full_layout' ELSE 'structural' END AS fidelity_tier, page AS page_number,
+  md5(CASE k WHEN 0 THEN array_to_string(ls, chr(10))
+    WHEN 1 THEN 'Sheet: S' || page || chr(10) || array_to_string(list_transform(ls, lambda l, i: l || ' | ' || i), chr(10))
+    ELSE 'Slide ' || page || chr(10) || array_to_string(ls, chr(10)) END) AS text_md5
+FROM p WHERE k <> 0 OR length(regexp_replace(array_to_string(ls, ''), '[^A-Za-z0-9]', '', 'g')) >= 20""",
+    "incremental_ingest": f"""WITH {EVIDENCE} SELECT id, document_id, document_name, line_end, seq, md5(snippet) AS snippet_md5 FROM ev""",
     "sentence_stats": f"""SELECT doc_id, CAST(len({_sentences('text')}) AS INTEGER) AS sentences,
   CAST(len(list_filter({_sentences('text')}, lambda s: len(regexp_split_to_array(trim(s), '\\s+')) >= 5)) AS INTEGER) AS long_sentences FROM documents""",
     "extractive_summaries": f"""WITH {TF} SELECT d.doc_id, coalesce(c.summary, trim(substr(regexp_replace(d.text, '\\s+', ' ', 'g'), 1, 600))) AS summary

@@ -32,7 +32,7 @@ def suffix_of(name: Column) -> Column:
 
 def has_enough_text(text: Column) -> Column:
     """At least twenty ASCII letters or digits."""
-    return tx.ascii_alnum_count(text) >= MIN_ALNUM
+    return tx.has_ascii_alnum(text, MIN_ALNUM)
 
 
 def decode(payload: Column) -> Column:
