@@ -31,11 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is absent (tests, a single machine) a temporary folder stands in.
     """
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
