@@ -54,7 +54,10 @@ def admit(files: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, D
             F.col("size_bytes") > settings.max_file_size, "file_too_large"
         ),
     )
-    accepted = checked.filter(F.col("reason_code").isNull()).drop("reason_code")
+    # The plain size predicate repeats part of the reason so that it reaches the file scan, which then
+    # never opens an oversized file.
+    fitting = checked.filter(F.col("size_bytes") <= settings.max_file_size)
+    accepted = fitting.filter(F.col("reason_code").isNull()).drop("reason_code")
     rejected = checked.filter(F.col("reason_code").isNotNull()).withColumn(
         "status_code", F.when(F.col("reason_code") == "file_too_large", 413).otherwise(415)
     )

@@ -1,0 +1,85 @@
+"""Chat and embedding models behind a local HTTP model server, called from Python workers.
+
+The functions below are factories for ``operators.embedding.embed`` and ``plans.ask.ask``; nothing
+connects until a task runs. A call that fails yields null, which the callers treat as "no answer".
+"""
+
+from __future__ import annotations
+
+import json
+import urllib.request
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marginalia.config import DEFAULTS, Settings
+
+TIMEOUT_SECONDS = 120
+
+
+def _post(url: str, payload: dict[str, Any]) -> dict[str, Any]:
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as response:
+        return json.loads(response.read())
+
+
+def embedder(settings: Settings = DEFAULTS) -> Callable[[], Callable[[list[str]], list[list[float] | None]]]:
+    """Factory of an embedding function: one request per text."""
+    url, model = f"{settings.model_base_url}/api/embeddings", settings.embed_model
+
+    def build() -> Callable[[list[str]], list[list[float] | None]]:
+        def run(texts: list[str]) -> list[list[float] | None]:
+            vectors = []
+            for text in texts:
+                try:
+                    vectors.append([float(x) for x in _post(url, {"model": model, "prompt": text})["embedding"]] or None)
+                except (OSError, KeyError, ValueError):
+                    vectors.append(None)
+            return vectors
+
+        return run
+
+    return build
+
+
+def generator(settings: Settings = DEFAULTS) -> Callable[[Column], Column]:
+    """Function from a prompt column to the model's raw text (null where the model failed)."""
+    url, model = f"{settings.model_base_url}/api/generate", settings.chat_model
+
+    @F.pandas_udf(T.StringType())
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            answers = []
+            for prompt in part:
+                try:
+                    answers.append(str(_post(url, {"model": model, "prompt": prompt, "stream": False}).get("response", "")))
+                except (OSError, ValueError):
+                    answers.append(None)
+            yield pd.Series(answers, index=part.index, dtype=object)
+
+    return run
+
+
+def installed_models(base_url: str) -> list[str] | None:
+    """Names of the models a server offers, or None when it cannot be reached (driver side)."""
+    try:
+        with urllib.request.urlopen(f"{base_url}/api/tags", timeout=2) as response:
+            listed = json.loads(response.read()).get("models", [])
+    except (OSError, ValueError):
+        return None
+    return [str(m.get("name", "")) for m in listed if isinstance(m, dict)]
+
+
+def stream_text(lines: list[bytes]) -> str:
+    """Text of a streamed reply: one JSON object per line, up to the one that says it is done."""
+    pieces = []
+    for line in filter(None, (raw.strip() for raw in lines)):
+        part = json.loads(line)
+        pieces.append(str(part.get("response") or ""))
+        if part.get("done"):
+            break
+    return "".join(pieces)

@@ -94,3 +94,24 @@ def test_plain_text_stays_out_of_python(spark):
     rows = spark.createDataFrame([(bytearray(b"x"),)], "payload binary")
     text = plan(rows.select(fm.parse_plain_text(fm.decode(F.col("payload"))).alias("p")))
     assert "Arrow" not in text and "Python" not in text
+
+
+def test_oversized_files_are_never_opened(spark, tmp_path):
+    from marginalia.plans.ingest import read_files
+
+    (tmp_path / "a.txt").write_text("x")
+    accepted, _ = fm.admit(read_files(spark, str(tmp_path)))
+    assert "LessThanOrEqual(length,52428800)" in plan(accepted)
+
+
+def test_hits_are_broadcast_only_within_the_bound(spark, sf_dir, stored):
+    from marginalia.config import Settings
+
+    queries = derive.questions(spark, sf_dir)
+    assert "BroadcastHashJoin" in plan(retrieve(stored, queries))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in plan(retrieve(stored, queries))
+        assert "BroadcastHashJoin" not in plan(retrieve(stored, queries, settings=Settings(queries_per_scan=20)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
