@@ -138,3 +138,60 @@ def finish(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
         now.alias("updated_at"),
     )
     return documents, jobs
+
+
+def timeline(parsed: DataFrame) -> DataFrame:
+    """Status rows every job goes through, in order: (job_id, document_id, step, status, stage, progress_pct).
+
+    ``parsed`` needs job_id, document_id, has_content and has_chunks. A file without content ends
+    after parsing; the indexing step only happens with chunks. Page progress comes from
+    ``throttle_reports``.
+    """
+
+    def row(stage: str) -> Column:
+        status = stage if stage in {"queued", "ready", "failed"} else "processing"
+        return F.struct(
+            F.lit(status).alias("status"), F.lit(stage).alias("stage"), F.lit(STAGE_PROGRESS[stage]).alias("progress_pct")
+        )
+
+    started = [row("queued"), row("parsing")]
+    worked = [row("chunking"), row("summarizing"), row("embedding")]
+    steps = (
+        F.when(~F.col("has_content"), F.array(*started, row("failed")))
+        .when(F.col("has_chunks"), F.array(*started, *worked, row("indexing"), row("ready")))
+        .otherwise(F.array(*started, *worked, row("ready")))
+    )
+    exploded = parsed.select("job_id", "document_id", F.posexplode(steps).alias("step", "at"))
+    return exploded.select("job_id", "document_id", "step", "at.*")
+
+
+def retry(documents: DataFrame, requested: DataFrame, stored: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queue documents for another ingest of their stored file.
+
+    ``requested`` needs document_id and job_id (of the new job), ``stored`` the document_id of every
+    stored file. Returns the new jobs, the document updates, and the refused requests with a reason.
+    """
+    known = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("_known"))
+    files = stored.select("document_id").distinct().withColumn("_stored", F.lit(True))
+    checked = requested.join(known, "document_id", "left").join(files, "document_id", "left")
+    accepted = checked.filter(F.col("_known") & F.col("_stored"))
+    refused = checked.filter(F.col("_known").isNull() | F.col("_stored").isNull()).select(
+        "document_id",
+        F.when(F.col("_known").isNull(), "Document was not found.").otherwise("The stored file is missing.").alias("reason"),
+    )
+    jobs = accepted.select(
+        F.col("job_id").alias("id"),
+        "document_id",
+        F.lit("queued").alias("status"),
+        F.lit("queued").alias("stage"),
+        F.lit(0).alias("progress_pct"),
+        F.lit(None).cast("map<string,string>").alias("error"),
+        now.alias("created_at"),
+        now.alias("updated_at"),
+    )
+    return jobs, accepted.select(F.col("document_id").alias("id"), F.lit("processing").alias("status")), refused
+
+
+def document_status(jobs: DataFrame, document_id: str) -> DataFrame:
+    """The latest job of one document; empty where it has none."""
+    return jobs.filter(F.col("document_id") == document_id).orderBy(F.col("seq").desc()).limit(1)

@@ -550,9 +550,14 @@ def document_labels(spark, sf_dir):
 
 @query
 def inline_files(spark, sf_dir):
-    """Which stored files a browser may show inline."""
+    """Which stored files a browser may show inline, and which have page images."""
     rows = derive.library(spark, sf_dir)
-    return rows.select("id", F.col("file_type").isin(*fm.INLINE_SAFE_EXTENSIONS).alias("inline"))
+    kind = F.col("file_type")
+    return rows.select(
+        "id",
+        kind.isin(*fm.INLINE_SAFE_EXTENSIONS).alias("inline"),
+        kind.isin(*fm.PREVIEWABLE_EXTENSIONS).alias("previewable"),
+    )
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,6 +647,48 @@ def reconciled_documents(spark, sf_dir):
     return rows.select("id", "status", F.unix_micros("updated_at").alias("updated_us"))
 
 
+@query
+def job_timelines(spark, sf_dir):
+    """Every status a job of the corpus ingest goes through."""
+    parsed = derive.parsed_documents(spark, sf_dir).withColumns(
+        {
+            "has_content": F.col("parsed").isNotNull(),
+            "has_chunks": F.coalesce(chunking.has_chunks(F.col("parsed.pages")), F.lit(False)),
+        }
+    )
+    return jobs.timeline(parsed)
+
+
+@query
+def retried_documents(spark, sf_dir):
+    """Retry of every document that needs attention; files of every ninth document are missing."""
+    rows = derive.library(spark, sf_dir)
+    asked = rows.filter(F.col("status").isin("review", "failed")).select(
+        F.col("id").alias("document_id"), F.concat(F.lit("retry_"), F.col("id")).alias("job_id")
+    )
+    kept = rows.filter(F.col("doc_seq") % 9 != 0).select(F.col("id").alias("document_id"))
+    queued, _, refused = jobs.retry(rows, asked, kept, _now())
+    return queued.select("document_id", "id", "status", F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("document_id", F.lit(None).cast("string").alias("id"), F.lit("refused").alias("status"), "reason")
+    )
+
+
+@query
+def uploaded_documents(spark, sf_dir):
+    """Document and job rows of all accepted uploads."""
+    files = derive.library(spark, sf_dir).select("id", "name", "size_bytes", "created_at", "doc_seq")
+    accepted, _ = fm.admit(files)
+    made, queued = fm.upload_document_rows(
+        accepted.select(
+            F.col("id").alias("document_id"), F.concat(F.lit("job_"), F.col("id")).alias("job_id"), "name", "suffix",
+            F.lit(None).cast("string").alias("mime_type"), "size_bytes",
+            F.when(F.col("doc_seq") % 2 == 0, (F.col("doc_seq") % 5).cast("int")).alias("probed_pages"), "created_at",
+        )
+    )
+    states = queued.select(F.col("document_id").alias("id"), F.col("status").alias("job_status"), "progress_pct")
+    return made.select("id", "file_type", "mime_type", "status", "fidelity_tier", "pages").join(states, "id")
+
+
 @query
 def progress_reports(spark, sf_dir):
     """Page reports of every document that reach its job: odd pages are reported first, then even ones."""

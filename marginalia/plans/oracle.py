@@ -492,7 +492,7 @@ SELECT id, ext AS type, CASE WHEN size_bytes < 1048576 THEN CAST(greatest(1, flo
   ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS size,
   CASE fidelity_tier WHEN 'full_layout' THEN 'Full layout' WHEN 'ocr_dependent' THEN 'OCR dependent' WHEN 'best_effort' THEN 'Best effort' ELSE 'Structural' END AS fidelity,
   {KINDS} AS kind, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN greatest(1, CAST(floor(m + 0.5) AS BIGINT)) || ' min ago' ELSE 'Today' END AS updated FROM x""",
-    "inline_files": f"WITH {LIBRARY} SELECT id, file_type IN ({_list(fm.INLINE_SAFE_EXTENSIONS)[1:-1]}) AS inline FROM library",
+    "inline_files": f"WITH {LIBRARY} SELECT id, file_type IN ({_list(fm.INLINE_SAFE_EXTENSIONS)[1:-1]}) AS inline, file_type IN ({_list(fm.PREVIEWABLE_EXTENSIONS)[1:-1]}) AS previewable FROM library",
     "citation_groups": f"""{CITED} SELECT query_id, group_key, document_name, first_rank, CAST(len(ids) AS INTEGER) AS passages,
   array_to_string(ids, ',') AS passage_ids, round(min_confidence, 6) AS min_confidence, coalesce(min_confidence < 0.6, FALSE) AS low_confidence FROM grouped""",
     "citation_pages": f"{CITED} SELECT query_id, group_key, {PAGE_WORDS} AS pages FROM grouped",
@@ -518,6 +518,20 @@ FROM chunks JOIN lib USING (doc_id)""",
     "reconciled_documents": f"""WITH {LIBRARY}, {JOBS}, o AS (SELECT DISTINCT document_id FROM jobs WHERE status IN ('queued', 'processing'))
 SELECT id, CASE WHEN document_id IS NOT NULL THEN 'review' ELSE status END AS status,
   CASE WHEN document_id IS NOT NULL THEN {NOW_US} ELSE updated_us END AS updated_us FROM library LEFT JOIN o ON document_id = id""",
+    "job_timelines": f"""WITH d AS (SELECT doc_id, {ALNUM} >= 20 AS ok FROM documents),
+s AS (SELECT doc_id, CASE WHEN ok THEN ['queued', 'parsing', 'chunking', 'summarizing', 'embedding', 'indexing', 'ready'] ELSE ['queued', 'parsing', 'failed'] END AS st FROM d),
+u AS (SELECT doc_id, unnest(st) AS stage, unnest(range(0, len(st))) AS step FROM s)
+SELECT 'job_' || doc_id AS job_id, 'doc_' || doc_id AS document_id, CAST(step AS INTEGER) AS step,
+  CASE WHEN stage IN ('queued', 'ready', 'failed') THEN stage ELSE 'processing' END AS status, stage,
+  CAST(CASE stage WHEN 'queued' THEN 0 WHEN 'parsing' THEN 5 WHEN 'chunking' THEN 62 WHEN 'summarizing' THEN 72 WHEN 'embedding' THEN 82
+    WHEN 'indexing' THEN 92 ELSE 100 END AS INTEGER) AS progress_pct FROM u""",
+    "retried_documents": f"""WITH {LIBRARY} SELECT id AS document_id, CASE WHEN doc_id % 9 <> 0 THEN 'retry_' || id END AS id,
+  CASE WHEN doc_id % 9 <> 0 THEN 'queued' ELSE 'refused' END AS status, CASE WHEN doc_id % 9 = 0 THEN 'The stored file is missing.' END AS reason
+FROM library WHERE status IN ('review', 'failed')""",
+    "uploaded_documents": f"""WITH {LIBRARY} SELECT id, file_type, 'application/octet-stream' AS mime_type, 'processing' AS status,
+  CASE WHEN file_type = 'png' THEN 'ocr_dependent' ELSE 'structural' END AS fidelity_tier,
+  CAST(greatest(1, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 ELSE 1 END) AS INTEGER) AS pages, 'queued' AS job_status, CAST(0 AS INTEGER) AS progress_pct
+FROM library WHERE file_type <> 'exe' AND size_bytes <= 52428800""",
     "progress_reports": """WITH RECURSIVE t AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
 o AS (SELECT doc_id, n, list_concat(list_filter(range(1, n + 1), lambda p: p % 2 = 1), list_filter(range(1, n + 1), lambda p: p % 2 = 0)) AS ps FROM t),
 f(doc_id, i, last, page, passes) AS (

@@ -19,6 +19,7 @@ HTML_EXTENSIONS = "html htm".split()
 OFFICE_EXTENSIONS = "docx xlsx pptx".split()
 TEXT_EXTENSIONS = CODE_EXTENSIONS + STRUCTURED_TEXT_EXTENSIONS + PLAIN_TEXT_EXTENSIONS
 SUPPORTED_EXTENSIONS = ["pdf", "csv", *OFFICE_EXTENSIONS, *HTML_EXTENSIONS, *TEXT_EXTENSIONS, *IMAGE_EXTENSIONS]
+PREVIEWABLE_EXTENSIONS = ["pdf", *IMAGE_EXTENSIONS]
 INLINE_SAFE_EXTENSIONS = ["pdf", "png", "jpg", "jpeg", "webp", "bmp", "csv", *TEXT_EXTENSIONS]
 
 MIN_ALNUM = 20
