@@ -63,6 +63,11 @@ def word_count(value: Column) -> Column:
     return let(strip(value), gaps)
 
 
+def has_words(value: Column, minimum: int) -> Column:
+    """At least ``minimum`` words; reads no further than the last one needed."""
+    return F.rlike(value, F.lit(rf"(?:[^{WHITESPACE}]++[{WHITESPACE}]++){{{minimum - 1}}}[^{WHITESPACE}]"))
+
+
 def words(value: Column) -> Column:
     """Whitespace-separated words, without empty strings."""
     return F.filter(F.split(value, rf"[{WHITESPACE}]+"), lambda word: word != "")

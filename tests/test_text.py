@@ -31,6 +31,7 @@ def test_functions_match_python(spark, values):
         tx.collapse(v).alias("collapse"),
         tx.collapsed_prefix(v, 5).alias("prefix"),
         tx.word_count(v).alias("n"),
+        tx.has_words(v, 3).alias("three"),
         tx.words(v).alias("words"),
         tx.lines(v).alias("lines"),
         tx.ascii_alnum_count(v).alias("alnum"),
@@ -41,6 +42,7 @@ def test_functions_match_python(spark, values):
         assert r.collapse == " ".join(r.v.split())
         assert r.prefix == " ".join(r.v.split())[:5]
         assert r.n == len(r.v.split())
+        assert r.three == (len(r.v.split()) >= 3)
         assert r.words == r.v.split()
         want = [line.strip() for line in r.v.splitlines()]
         assert r.lines[: len(want)] == want and not any(r.lines[len(want) :])
