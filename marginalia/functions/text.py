@@ -65,7 +65,9 @@ def word_count(value: Column) -> Column:
 
 def has_words(value: Column, minimum: int) -> Column:
     """At least ``minimum`` words; reads no further than the last one needed."""
-    return F.rlike(value, F.lit(rf"(?:[^{WHITESPACE}]++[{WHITESPACE}]++){{{minimum - 1}}}[^{WHITESPACE}]"))
+    # Anchored, so that a long text with too few words is read once and not from every position.
+    word, blank = rf"[^{WHITESPACE}]", rf"[{WHITESPACE}]"
+    return F.rlike(value, F.lit(rf"\A{blank}*+(?:{word}++{blank}++){{{minimum - 1}}}{word}"))
 
 
 def words(value: Column) -> Column:
@@ -94,7 +96,7 @@ def ascii_alnum_count(value: Column) -> Column:
 
 def has_ascii_alnum(value: Column, minimum: int) -> Column:
     """At least ``minimum`` ASCII letters or digits; reads no further than the last one needed."""
-    return F.rlike(value, F.lit(f"(?:[A-Za-z0-9][^A-Za-z0-9]*+){{{minimum}}}"))
+    return F.rlike(value, F.lit(rf"\A[^A-Za-z0-9]*+(?:[A-Za-z0-9][^A-Za-z0-9]*+){{{minimum}}}"))
 
 
 def clean_control(value: Column) -> Column:

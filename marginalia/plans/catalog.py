@@ -33,7 +33,8 @@ QUERIES: dict[str, Query] = {}
 
 #: The single search request of the catalogue; "content" is part of every row's section.
 SEARCH_QUERY = "Thinwhst shouha content archive src7"
-NOW = "2024-02-01 00:00:00"
+#: 2024-02-01 00:00:00 UTC.
+NOW_MICROS = 1_706_745_600_000_000
 
 
 def query(run: Query) -> Query:
@@ -46,7 +47,7 @@ def _r6(value: Column) -> Column:
 
 
 def _now() -> Column:
-    return F.lit(NOW).cast("timestamp")
+    return F.timestamp_micros(F.lit(NOW_MICROS))
 
 
 # --- parsing and pages -------------------------------------------------------------------------
@@ -542,7 +543,7 @@ def review_stats(spark, sf_dir):
 
 @query
 def document_labels(spark, sf_dir):
-    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    now = F.timestamp_seconds(F.lit(1_704_070_800))  # an hour after the first document
     rows = library.document_records(derive.library(spark, sf_dir), now)
     # The clock part of older labels depends on the locale, so only the words are kept.
     return rows.select("id", "type", "size", "fidelity", "kind", F.regexp_extract("updated", r"\A([A-Za-z0-9 ]+)", 1).alias("updated"))

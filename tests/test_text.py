@@ -54,3 +54,9 @@ def test_functions_match_python(spark, values):
 def test_sentences(spark):
     row = spark.createDataFrame([("One. Two!  Three?\nFour.Five",)], "v string").select(tx.sentences(F.col("v"))).first()
     assert row[0] == ["One.", "Two!", "Three?", "Four.Five"]
+
+
+def test_long_texts_without_words_are_read_once(spark):
+    rows = spark.createDataFrame([("x" * 400_000,), ("." * 400_000,)], "v string")
+    got = rows.select(tx.has_words(F.col("v"), 5).alias("w"), tx.has_ascii_alnum(F.col("v"), 20).alias("a")).collect()
+    assert [(r.w, r.a) for r in got] == [(False, True), (False, False)]
