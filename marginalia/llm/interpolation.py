@@ -8,7 +8,7 @@ doubling each) and are learned by expectation-maximisation on held-out counts: d
 ``HELD_FOLD`` are scored with the counts of the other training documents; then all training documents count.
 
 Counts cover all documents. The corpus is cut into blocks of about ``BLOCK_BYTES``; a block's distinct
-n-grams (64-bit hashes) with their counts go, in slices of the hash range, to the tasks that add them up,
+n-grams (by hashes) with their counts go, in slices of the hash range, to the tasks that add them up,
 and the sums come back to the blocks in the same order. Everything a task holds is one block or one slice;
 hashes spread evenly, so frequent words make no task large: a block sends each n-gram once.
 
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow import slices, stored, words
 
 ORDER = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 SLICE_BYTES = 24 << 20
+#: Hashes of n-grams of several words have so many bits more than their number has; one n-gram in 2^20
+#: meets another one. Single words have all 64 bits.
+HASH_BITS = 20
 HELD_FOLD = 3
 TEST_FOLD = 2
 ROUNDS = 30
@@ -81,7 +84,7 @@ class _Builder:
             "ids": [np.concatenate(self.ids).astype("<i8").tobytes()],
             "folds": [np.concatenate(self.folds).astype("<i1").tobytes()],
             "bounds": [np.concatenate(([0], np.cumsum(np.concatenate(self.sizes)))).astype("<i8").tobytes()],
-            "codes": [np.concatenate(self.codes).tobytes()],
+            "codes": [_planes(np.concatenate(self.codes))],
             "hashes": [np.concatenate([np.zeros(0, np.uint64), *self.hashes]).astype("<u8").tobytes()],
         }
         return pa.RecordBatch.from_pydict(data)
@@ -107,11 +110,11 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Block:
     """One stored block: its tokens' n-grams of every order."""
 
-    def __init__(self, row, order: int):
+    def __init__(self, row, order: int, bits: int):
         self.number, self.order = int(row.block), order
         self.ids, self.folds = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.folds, "<i1")
         bounds = np.frombuffer(row.bounds, "<i8")
-        codes, hashes = np.frombuffer(row.codes, "<i4"), np.frombuffer(row.hashes, "<u8")
+        codes, hashes = _whole(row.codes, "<i4"), np.frombuffer(row.hashes, "<u8")
         n = np.diff(bounds) + 1  # with the end token
         self.ends = np.cumsum(n)
         self.begins = self.ends - n
@@ -124,6 +127,8 @@ class _Block:
             real = place >= k
             earlier[real] = tokens[np.flatnonzero(real) - k]
             self.grams.append(_mixed(earlier, self.grams[-1]))
+        low = np.uint64(64 - bits)
+        self.grams[1:] = [g >> low << low for g in self.grams[1:]]
 
     def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct k-grams in order, and each token's place among them; for one word also the start."""
@@ -144,13 +149,13 @@ def _cut(keys: np.ndarray, slices_: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
 
 
-def _sent(order: int, slices_: int):
+def _sent(order: int, bits: int, slices_: int):
     """Per block, order and slice: distinct n-grams with the counts of the block's training documents."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row in rows.itertuples():
-                block = _Block(row, order)
+                block = _Block(row, order, bits)
                 trained = block.trained()
                 for k in range(1, order + 1):
                     keys, place = block.keys(k)
@@ -236,11 +241,11 @@ def _binned(estimates: np.ndarray) -> np.ndarray:
     return np.where(estimates > 0, np.clip(bins, 1, GRID), 0).astype(np.int64)
 
 
-def _held_out(order: int, tokens: int):
+def _held_out(order: int, bits: int, tokens: int):
     """Counts of held-out tokens per bucket and binned estimates."""
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(next(blocks.itertuples()), order)
+        block = _Block(next(blocks.itertuples()), order, bits)
         made, bucket, _ = _estimates(block, answers, "kept", tokens)
         cell = bucket
         for k in range(order):
@@ -275,11 +280,11 @@ def learned_weights(cells: np.ndarray, n: np.ndarray, order: int, uniform: float
     return weights
 
 
-def _scored(order: int, tokens: int, distinct: int, weights: np.ndarray):
+def _scored(order: int, bits: int, tokens: int, distinct: int, weights: np.ndarray):
     uniform = 1 / (distinct + 1)
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(next(blocks.itertuples()), order)
+        block = _Block(next(blocks.itertuples()), order, bits)
         made, bucket, known = _estimates(block, answers, "n", tokens)
         mixed = weights[bucket]
         chance = mixed[:, 0] * uniform + (mixed[:, 1:] * made).sum(axis=1)
@@ -309,8 +314,9 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold)
     blocks = stored(rows.mapInArrow(_blocks, _BLOCK), "lm-blocks")
     size = blocks.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+    bits = min(64, HASH_BITS + (int(size) // 4 + 1).bit_length())
     slices_ = max(1, -(-int(size) * 2 * order // SLICE_BYTES))
-    sent = blocks.mapInPandas(_sent(order, slices_), "part int, block long, k int, held boolean, keys binary, n binary")
+    sent = blocks.mapInPandas(_sent(order, bits, slices_), "part int, block long, k int, held boolean, keys binary, n binary")
     answer = "block long, part int, k int, n binary, kept binary"
     answers = stored(sent.groupBy("part", "k").applyInPandas(_summed, answer), "lm-counts")
     sums = np.zeros(4, np.int64)
@@ -324,9 +330,9 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     asked = answers.filter("block >= 0 and octet_length(kept) > 0")
     cells = blocks.filter("held").groupBy("block").cogroup(asked.groupBy("block"))
-    cells = cells.applyInPandas(_held_out(order, kept_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = cells.applyInPandas(_held_out(order, bits, kept_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = learned_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), order, 1 / (kept_distinct + 1))
     if not tokens:
         weights = np.eye(1, order + 1).repeat(BUCKETS, axis=0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return together("true", _scored(order, tokens, distinct, weights), schema)
+    return together("true", _scored(order, bits, tokens, distinct, weights), schema)
