@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow import slices, stored, words
 
 ORDER = 2
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 24 << 20
 #: Hashes of n-grams of several words have so many bits more than their number has; one n-gram in 2^20
 #: meets another one. Single words have all 64 bits.
