@@ -93,7 +93,7 @@ class _Builder:
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of coded texts; held-out documents get blocks of their own."""
     task, made, open_ = TaskContext.get().partitionId(), 0, {}
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", BLOCK_BYTES // 4):
         for held in (False, True):
             own = part.filter(pc.equal(part["fold"], HELD_FOLD) if held else pc.not_equal(part["fold"], HELD_FOLD))
             if len(own):
