@@ -71,7 +71,7 @@ class TokenMemory:
     ids of each string. Forgetting changes no result, only the time.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[list[np.ndarray], list[int]]], limit: int):
+    def __init__(self, learn: Callable[[list[str]], tuple[list[np.ndarray], list[int] | np.ndarray]], limit: int):
         self.learn, self.limit = learn, limit
         self._forget()
 
@@ -88,7 +88,7 @@ class TokenMemory:
         own, size = self.learn(missing)
         self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
         self.pool = np.concatenate([self.pool, *own]).astype(np.uint32)
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.array(size, np.int64))))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.asarray(size, np.int64))))
         index = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
         begin, size = self.begin[index], self.begin[index + 1] - self.begin[index]
         return self.pool[ranges(begin[codes], size[codes])], np.concatenate(([0], np.cumsum(size[codes])))

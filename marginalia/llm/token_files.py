@@ -31,27 +31,69 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm.arrow import TokenMemory, slices, words
+from marginalia.llm.arrow import TokenMemory, ranges, slices, words
 
 REMEMBERED = 800_000
 NO_ID = -(2**63)
 _OUT = "shard int, name string, documents long, tokens long"
 
 
+#: Stands between words that the library encodes in one call; a private character of its own token ids.
+MARK = "\ue000"
+_TOGETHER = 512
+
+
+def _parted(word: str) -> tuple[str, str]:
+    """A word as a stem and the full stops and commas after it, which tokens never join.
+
+    Stems in ASCII are lower-cased, as the tokenizer does.
+    """
+    stem = word.rstrip(".,")
+    if stem and stem[-1].isalpha():
+        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+    return word, ""
+
+
 class WordEncoder:
     """Ids by the tokenizers library of texts whose tokenizer never joins words across ASCII white space.
 
-    Every distinct word is encoded once by the library; a text's ids are those of its words.
+    Every distinct word is encoded once by the library, many in a call with ``MARK`` between them; where the
+    marks cannot be told from words, one by one. A text's ids are those of its words.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.int64)
         self.memory = TokenMemory(self._learn, REMEMBERED)
 
-    def _learn(self, strings: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-        return [np.array([i for own in ids for i in own], np.uint32)], [len(own) for own in ids]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, words_: list[str]) -> list[np.ndarray]:
+        """Ids of every word."""
+        out = []
+        groups = [words_[i : i + _TOGETHER] for i in range(0, len(words_), _TOGETHER)]
+        n = len(self.mark)
+        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(ids == self.mark[0])
+            at = at[at + n <= len(ids)]
+            at = at[(ids[at[:, None] + np.arange(n)] == self.mark).all(axis=1)]
+            if len(at) == len(group) - 1:
+                begin, end = np.concatenate(([0], at + n)), np.append(at, len(ids))
+                out += [ids[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            else:
+                out += self._ids(group)
+        return out
+
+    def _learn(self, strings: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        number: dict[str, int] = {}
+        index = np.array([number.setdefault(p, len(number)) for s in strings for p in _parted(s)], np.int64)
+        own = self._each(list(number))
+        begin = np.concatenate(([0], np.cumsum(np.array([len(x) for x in own], np.int64))))
+        size = np.diff(begin)[index]
+        pool = np.concatenate([np.zeros(0, np.int64), *own])
+        return [pool[ranges(begin[:-1][index], size)]], size.reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end_id`` after each text, and the bounds of each text."""
