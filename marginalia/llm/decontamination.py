@@ -10,7 +10,8 @@ seeds (all, if an item has fewer) are aligned word by word (Smith-Waterman: matc
 The score is the alignment's share of the item's best (2 per word); from ``THRESHOLD`` on it counts.
 
 The benchmark is cut into parts of about ``PART_WORDS`` words, by a hash of the item id; only the n-grams of
-one part at a time are sent to the tasks. The corpus is never shuffled, only hits and passages are.
+one part at a time are sent to the tasks. Neither documents nor
+passages are shuffled, only counts and results are.
 
 Defined cases: null, empty, or markless texts and items have no n-grams and never match; an item shorter
 than ``GRAM`` words is searched as one n-gram of its own length; repeated rows are judged alike, one result
@@ -20,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ SEEDS = 2
 THRESHOLD = 0.5
 MATCH, MISMATCH, SPACE = 2, -1, -1
 PART_WORDS = 1_000_000
-_PASSAGE = "doc_id long, passage long, first long, words array<string>, grams array<long>, own array<long>"
+_PASSAGE = "doc_id long, first long, words array<string>, grams array<long>, own array<long>"
 
 
 def _bare(word: str) -> str:
@@ -110,7 +112,6 @@ class _Finder:
 
 def _passages(finder: _Finder):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
         for part in slices(batches, "text"):
             codes, bounds, vocabulary = words(part["text"])
             clean = [_bare(w) for w in vocabulary.to_pylist()]
@@ -122,7 +123,7 @@ def _passages(finder: _Finder):
             text = np.repeat(np.arange(len(part)), np.diff(bounds))
             at, names = finder.hits(numbers[codes] if len(codes) else codes.astype(np.int64), text)
             cuts = np.flatnonzero((np.diff(at) > GAP) | (np.diff(text[at]) > 0)) + 1
-            ids, out = part["doc_id"].to_pylist(), {k: [] for k in ("doc_id", "passage", "first", "words", "grams", "own")}
+            ids, out = part["doc_id"].to_pylist(), {k: [] for k in ("doc_id", "first", "words", "grams", "own")}
             counted = set()
             for own, name in zip(np.split(at, cuts), np.split(names, cuts), strict=True):
                 if not len(own):
@@ -139,22 +140,19 @@ def _passages(finder: _Finder):
                     low = max(int(bounds[row]), int(own[0]) - finder.margin)
                     high = min(int(bounds[row + 1]), int(own[-1]) + GRAM + finder.margin)
                 out["doc_id"].append(ids[row])
-                out["passage"].append(made)
                 out["first"].append(low - int(bounds[row]))
                 out["words"].append([clean[c] for c in codes[low:high]])
                 out["grams"].append(grams)
                 out["own"].append(fresh)
-                made += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out["doc_id"], pa.int64()),
-                    pa.array(out["passage"], pa.int64()),
                     pa.array(out["first"], pa.int64()),
                     pa.array(out["words"], pa.list_(pa.string())),
                     pa.array(out["grams"], pa.list_(pa.int64())),
                     pa.array(out["own"], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "passage", "first", "words", "grams", "own"],
+                ["doc_id", "first", "words", "grams", "own"],
             )
 
     return run
@@ -186,18 +184,27 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return (score / (MATCH * len(item)) if item else 0.0), stop - begin if back else 0, stop
 
 
-def _aligned(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        found = [align(list(a), list(b)) for a, b in zip(rows["item"], rows["words"], strict=True)]
-        yield pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"],
-                "item_id": rows["item_id"],
-                "score": np.array([f[0] for f in found], np.float64),
-                "first_word": np.array([f[1] for f in found], np.int64) + rows["first"].to_numpy(),
-                "last_word": np.array([f[2] for f in found], np.int64) + rows["first"].to_numpy() - 1,
-            }
-        )
+def _judged(items: list[tuple[int, list[str]]], seeds: list[list[int]]):
+    """Joins passages to the items they share seeds with, by a hash table of the part's seeds, and aligns them."""
+    holders: dict[int, list[int]] = {}
+    for i, own in enumerate(seeds):
+        for gram in own:
+            holders.setdefault(gram, []).append(i)
+    least = [min(SEEDS, len(own)) for own in seeds]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for row in rows.itertuples():
+                shared = Counter(i for gram in row.grams for i in holders.get(gram, ()))
+                passage = list(row.words)
+                for i, n in shared.items():
+                    if n >= least[i]:
+                        score, first, stop = align(items[i][1], passage)
+                        found.append((row.doc_id, items[i][0], score, row.first + first, row.first + stop - 1))
+            yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
+
+    return run
 
 
 def _rarest(own: list[str], frequency: dict[int, int]) -> list[int]:
@@ -211,25 +218,14 @@ def _rarest(own: list[str], frequency: dict[int, int]) -> list[int]:
 
 
 def _part(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
-    spark = docs.sparkSession
     finder = _Finder([own for _, own in items])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     passages = stored(rows.mapInArrow(_passages(finder), _PASSAGE), "passages")
     counts = passages.select(F.explode("own").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     frequency = {r["gram"]: r["n"] for r in counts.collect()}  # at most the n-grams of the part
-    seeds = [(g, i) for i, own in items for g in _rarest(own, frequency)]
-    lots = {}
-    for _, i in seeds:
-        lots[i] = lots.get(i, 0) + 1
-    seeds = spark.createDataFrame(seeds, "gram long, item_id long")
-    table = spark.createDataFrame([(i, own, min(SEEDS, lots.get(i, 0))) for i, own in items], "item_id long, item array<string>, least int")
-    passages = passages.filter(F.size("grams") > 0).drop("own").withColumn("passage", F.struct(F.spark_partition_id(), "doc_id", "passage"))
-    met = passages.select("passage", "doc_id", "first", F.explode("grams").alias("gram"), "words").join(seeds, "gram")
-    met = met.groupBy("passage", "doc_id", "first", "words", "item_id").agg(F.count("*").alias("n"))
-    met = met.join(table, "item_id").filter(F.col("n") >= F.col("least"))
-    scored = met.select("doc_id", "item_id", "first", "words", "item").mapInPandas(
-        _aligned, "doc_id long, item_id long, score double, first_word long, last_word long"
-    )
+    seeds = [_rarest(own, frequency) for _, own in items]
+    passages = passages.filter(F.size("grams") > 0).select("doc_id", "first", "words", "grams")
+    scored = passages.mapInPandas(_judged(items, seeds), "doc_id long, item_id long, score double, first_word long, last_word long")
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     best = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")
