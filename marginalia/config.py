@@ -11,12 +11,10 @@ ENV_PREFIX = "MARGINALIA_"
 @dataclass(frozen=True)
 class Settings:
     max_file_size: int = 50 * 1024 * 1024
-    max_text_chars: int = 400_000
     top_k: int = 12
     min_similarity: float = 0.35
     chunk_max_words: int = 180
     chunk_overlap_words: int = 30
-    max_chunks_per_document: int = 4000
     ocr_engine: str = "auto"
     ocr_languages: str = "eng"
     ocr_batch_size: int = 8

@@ -132,7 +132,7 @@ def anchor_quality(suffix: Column, fidelity_tier: Column) -> Column:
 
 
 def document_chunks(pages: Column, settings: Settings = DEFAULTS) -> Column:
-    """All chunks of a document's page array, in page order, up to the per-document ceiling."""
+    """All chunks of a document's page array, in page order."""
 
     def of_page(page: Column) -> Column:
         scanned = page["source"] == "ocr"
@@ -148,7 +148,7 @@ def document_chunks(pages: Column, settings: Settings = DEFAULTS) -> Column:
             ),
         )
 
-    return F.slice(F.flatten(F.transform(pages, of_page)), 1, settings.max_chunks_per_document)
+    return F.flatten(F.transform(pages, of_page))
 
 
 def has_chunks(pages: Column) -> Column:
@@ -156,7 +156,7 @@ def has_chunks(pages: Column) -> Column:
     return F.exists(pages, lambda p: tx.strip(p["text"]) != "")
 
 
-#: Room for chunk ordinals inside ``seq``; larger than any allowed ``max_chunks_per_document``.
+#: Room for chunk ordinals inside ``seq``.
 SEQ_STRIDE = 1_000_000
 
 
@@ -184,7 +184,7 @@ def evidence_rows(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFr
         F.col("chunk.page").alias("page"),
         F.col("chunk.line_start").alias("line_start"),
         F.col("chunk.line_end").alias("line_end"),
-        F.substring("chunk.text", 1, schemas.SNIPPET_CHARS).alias("snippet"),
+        F.col("chunk.text").alias("snippet"),
         F.lit(schemas.INDEX_SCORE).alias("retrieval_score"),
         F.lit(schemas.INDEX_RELEVANCE).alias("relevance"),
         F.when(F.col("chunk.bbox").isNotNull(), "bbox")
@@ -203,11 +203,11 @@ def evidence_id(document_id: Column, ordinal: Column) -> Column:
     return F.format_string("ev_%s_%04d", F.regexp_replace(document_id, r"\Adoc_", ""), ordinal)
 
 
-def number_chunks(chunks: DataFrame, cap: int = DEFAULTS.max_chunks_per_document) -> DataFrame:
-    """Ordinals and the per-document ceiling for chunks that arrive as separate rows.
+def number_chunks(chunks: DataFrame) -> DataFrame:
+    """Ordinals for chunks that arrive as separate rows.
 
     Needs document_id, page and seq_in_page. Only used where pages of one document come from
     different rows; ``evidence_rows`` numbers chunks without a shuffle.
     """
     order = W.partitionBy("document_id").orderBy("page", "seq_in_page")
-    return chunks.withColumn("ordinal", F.row_number().over(order)).filter(F.col("ordinal") <= cap)
+    return chunks.withColumn("ordinal", F.row_number().over(order))

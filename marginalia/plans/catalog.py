@@ -84,7 +84,7 @@ def decoded_payloads(spark, sf_dir):
 @query
 def html_to_text(spark, sf_dir):
     rows = spread(derive.table(spark, sf_dir, "pages", "page_id", "html"), "page_id")
-    return rows.select("page_id", parsers.html_text_udf("html").alias("text"))
+    return rows.select("page_id", parsers.html_text(F.col("html")).alias("text"))
 
 
 @query
@@ -341,7 +341,7 @@ def search_results(spark, sf_dir):
 def retrieve_dedupe(spark, sf_dir):
     """Best-ranked evidence per passage key over the whole library."""
     hits = derive.evidence(spark, sf_dir).select("id", "seq", "snippet")
-    return dedupe_hits(hits, order="seq").select("id", F.length("dedupe_key").alias("key_chars"))
+    return dedupe_hits(hits, order="seq").select("id", "dedupe_key")
 
 
 @query
@@ -385,7 +385,7 @@ def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunking.document_chunks(F.col("pages")),
         lambda c, i: _as_chunk(
             chunking.evidence_id(F.col("document_id"), i + 1),
-            F.substring(c["text"], 1, schemas.SNIPPET_CHARS),
+            c["text"],
             F.lit(1.0) / (i + 1),
             F.when(i % 2 == 1, (i % 10) / 10.0),
         ),

@@ -37,7 +37,7 @@ lib AS (
 ev AS (
   SELECT 'ev_' || doc_id || '_0001' AS id, document_id, document_name, 'Imported content' AS section,
          CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS line_start, CAST(len(ls) AS INTEGER) AS line_end,
-         substr(array_to_string(ls, ' '), 1, 4000) AS snippet, doc_id * 1000000 + 1 AS seq, doc_id
+         array_to_string(ls, ' ') AS snippet, doc_id * 1000000 + 1 AS seq, doc_id
   FROM lib
 )
 """
@@ -68,7 +68,7 @@ fold(doc_id, page, part, a, e) AS (
   SELECT f.doc_id, f.page, f.part, f.a, f.e,
          row_number() OVER (PARTITION BY f.doc_id ORDER BY f.page, f.part) AS ordinal,
          CAST(2 * f.a - 1 AS INTEGER) AS line_start, CAST(2 * f.e - 1 AS INTEGER) AS line_end,
-         substr(array_to_string(s.ls[f.a:f.e], ' '), 1, 4000) AS snippet
+         array_to_string(s.ls[f.a:f.e], ' ') AS snippet
   FROM fold f JOIN sums s ON s.doc_id = f.doc_id AND s.page = f.page
 )
 """
@@ -93,7 +93,7 @@ def _score(terms: str) -> str:
     )
 
 
-KEY = "substr(trim(regexp_replace(lower(snippet), '\\s+', ' ', 'g')), 1, 240)"
+KEY = "trim(regexp_replace(lower(snippet), '\\s+', ' ', 'g'))"
 
 
 def _keyword(where_corpus: str = "TRUE", where_hits: str = "TRUE") -> str:
@@ -162,7 +162,7 @@ def _strip(text: str) -> str:
     return f"trim(regexp_replace({single}, '\\s+([.,;:!?])', '\\1', 'g'), ' ' || chr(10))"
 
 
-PART = "regexp_replace(trim(substr(trim(snippet), 1, 240)), '[.!?]+$', '') || ' [chunk:' || id || '].'"
+PART = "regexp_replace(trim(snippet), '[.!?]+$', '') || ' [chunk:' || id || '].'"
 
 RESPONSES = f"""WITH {EVIDENCE}, {QUESTIONS}, {_batch_hits()}, {RETRIEVED},
 packed AS (
@@ -393,7 +393,7 @@ SELECT conv_id, turn, CASE WHEN length(t) <= 600 THEN t
   WHEN length(regexp_replace(clip, '[^.!?]*$', '')) - 1 > 300 THEN regexp_replace(clip, '[^.!?]*$', '')
   ELSE rtrim(clip) || '…' END AS summary FROM c""",
     "summary_prompts": """WITH p AS (SELECT doc_id, 'Summarize the following document in two or three sentences. Describe only what the document actually says; do not speculate or add outside context.'
-  || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Document:' || chr(10) || substr(text, 1, 6000) || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents)
+  || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Document:' || chr(10) || text || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents)
 SELECT doc_id, CAST(length(prompt) AS INTEGER) AS chars, md5(prompt) AS prompt_md5 FROM p""",
     "hash_embeddings": f"""WITH t AS (SELECT doc_id, unnest({_words('lower(text)')}) AS w FROM documents),
 b AS (SELECT doc_id, CAST((('0x' || substr(sha256(w), 1, 2))::INTEGER) % 64 AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY 1, 2)
@@ -418,7 +418,7 @@ FROM s WHERE c >= 0.35 QUALIFY rank <= 12""",
     "search_results": f"""WITH {EVIDENCE}, {QUESTIONS}, {_batch_hits()}, {RETRIEVED}
 SELECT query_id, rank, id, document_name, CAST(0.74 AS DOUBLE) AS score FROM retrieved""",
     "retrieve_dedupe": f"""WITH {EVIDENCE}, k AS (SELECT id, seq, {KEY} AS k FROM ev)
-SELECT id, CAST(length(k) AS INTEGER) AS key_chars FROM k WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq) = 1""",
+SELECT id, sha256(k) AS dedupe_key FROM k WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq) = 1""",
     "vector_first_retrieval": f"""WITH {EVIDENCE}, {QUESTIONS}, {_batch_hits()}, {VECTORS},
 qv AS (SELECT query_id, v FROM asked JOIN vecs ON vec_id = query_id // 1000),
 sim AS (SELECT query_id, vec_id, round(list_cosine_similarity(b.v, qv.v), 12) AS c FROM qv, vecs b),

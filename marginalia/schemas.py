@@ -54,7 +54,6 @@ PROVIDER_TYPES = ("ollama", "openai", "anthropic", "gemini", "openai_compatible"
 SECTION = "Imported content"
 INDEX_SCORE = 0.74
 INDEX_RELEVANCE = "Medium"
-SNIPPET_CHARS = 4000
 
 
 def _required(*names: str) -> list[tuple[str, Column]]:

@@ -128,14 +128,14 @@ def single_page(text: Column, tier: str) -> Column:
     )
 
 
-def plain_text(text: Column, settings: Settings = DEFAULTS) -> Column:
-    """Cleaned plain text, cut at the engine's text ceiling."""
-    return F.substring(tx.clean_control(text), 1, settings.max_text_chars)
+def plain_text(text: Column) -> Column:
+    """Plain text without control characters."""
+    return tx.clean_control(text)
 
 
-def parse_plain_text(text: Column, settings: Settings = DEFAULTS) -> Column:
+def parse_plain_text(text: Column) -> Column:
     """Parsed document of decoded plain text, code, JSON, XML or YAML (none is parsed structurally)."""
-    return let(plain_text(text, settings), lambda cleaned: single_page(cleaned, "full_layout"))
+    return let(plain_text(text), lambda cleaned: single_page(cleaned, "full_layout"))
 
 
 def csv_line(cells: Column) -> Column:

@@ -1,137 +1,6 @@
-"""Pluggable engines and models with stand-ins for the optional libraries and servers."""
-
-import io
-import json
-import sys
-import types
-
-import pytest
-from pyspark.sql import functions as F
+"""Settings."""
 
 from marginalia.config import Settings
-from marginalia.operators import ocr
-from marginalia.sources import models, recognizers
-
-
-class Picture:
-    """Stand-in for an image of 200 x 100 pixels."""
-
-    width, height = 200, 100
-
-    def __init__(self, data):
-        self.data = data
-
-    def convert(self, mode):
-        return self
-
-
-@pytest.fixture
-def pillow(monkeypatch):
-    image = types.ModuleType("PIL.Image")
-    image.open = lambda stream: Picture(stream.read())
-    package = types.ModuleType("PIL")
-    package.Image = image
-    monkeypatch.setitem(sys.modules, "PIL", package)
-    monkeypatch.setitem(sys.modules, "PIL.Image", image)
-
-
-def test_null_engine_without_libraries():
-    recognizers.engine.cache_clear()
-    for preference in ("auto", "rapidocr", "tesseract", "paddleocr", "other"):
-        found = recognizers.engine(preference)
-        assert found.name == "unavailable" and found.recognize_batch([1, 2], "eng") == [[], []]
-    assert recognizers.page_images(b"not a real pdf", "pdf") is None
-    assert recognizers.page_images(None, "png") is None
-
-
-def test_rapid_results_become_regions(monkeypatch):
-    box = [[10, 10], [110, 10], [110, 30], [10, 30]]
-    raw = [[box, "kept", 0.9], ["not-an-entry"], [box, "also", 0.5]]
-    library = types.ModuleType("rapidocr_onnxruntime")
-    library.RapidOCR = lambda: lambda array: (raw, 0.1)
-    monkeypatch.setitem(sys.modules, "rapidocr_onnxruntime", library)
-    found = recognizers.RapidEngine().recognize_batch([Picture(b"")], "eng")
-    assert [r["text"] for r in found[0]] == ["kept", "also"]
-
-
-def test_paddle_results_become_regions(monkeypatch):
-    seen = {}
-
-    class Reader:
-        def __init__(self, **options):
-            seen.update(options)
-
-        def predict(self, frames):
-            return [{"rec_texts": ["a", "b"], "rec_scores": [0.9], "rec_polys": [[[0, 0], [1, 1]]]}]
-
-    library = types.ModuleType("paddleocr")
-    library.PaddleOCR = Reader
-    monkeypatch.setitem(sys.modules, "paddleocr", library)
-    found = recognizers.PaddleEngine(recognizers.paddle_language("deu+eng")).recognize_batch([Picture(b""), Picture(b"")], "deu")
-    assert seen["lang"] == "german" and len(found) == 2 and found[1] == []
-    assert found[0][1] == {"quad": None, "text": "b", "score": None}
-
-
-def test_recognition_runs_in_batches(spark, pillow, monkeypatch):
-    """The per-batch function, called as a Python worker would call it."""
-    sizes = []
-
-    class Engine:
-        name = "fake"
-
-        def recognize_batch(self, images, languages):
-            sizes.append(len(images))
-            return [[{"quad": [[0.0, 0.0], [20.0, 0.0], [20.0, 10.0]], "text": i.data.decode(), "score": 0.8}] for i in images]
-
-    rows = spark.createDataFrame([("d", n, bytearray(f"p{n}".encode())) for n in range(5)], "document_id string, page_number int, image binary")
-    captured = {}
-    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInPandas", lambda self, run, schema: captured.update(run=run, source=self))
-    recognizers.recognize(rows, Settings(ocr_batch_size=2), make_engine=Engine)
-    batches = list(captured["run"](iter([captured["source"].toPandas()])))
-    assert sizes == [2, 2, 1] and batches[0]["text"].tolist() == [f"p{n}" for n in range(5)]
-    monkeypatch.undo()
-    lines = ocr.lines_from_quads(spark.createDataFrame(batches[0]))
-    page = ocr.pages_from_lines(lines, ["document_id", "page_number"], "fake").filter("page_number = 3").first()
-    assert (page.ocr_text, page.ocr_confidence, tuple(page.ocr_bbox)) == ("p3", 0.8, (0.0, 0.0, 0.1, 0.1))
-
-
-class Reply(io.BytesIO):
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *args):
-        return False
-
-
-def test_model_server_calls(monkeypatch):
-    asked = []
-
-    def answer(request, timeout):
-        if isinstance(request, str):
-            return Reply(json.dumps({"models": [{"name": "m:1b"}, "odd"]}).encode())
-        body = json.loads(request.data)
-        asked.append((request.full_url, body))
-        if "fail" in body["prompt"]:
-            raise OSError("down")
-        return Reply(json.dumps({"embedding": [1, 2], "response": "text"}).encode())
-
-    monkeypatch.setattr("urllib.request.urlopen", answer)
-    settings = Settings(model_base_url="http://models:1")
-    assert models.embedder(settings)()(["a", "fail"]) == [[1.0, 2.0], None]
-    assert asked[0] == ("http://models:1/api/embeddings", {"model": "nomic-embed-text", "prompt": "a"})
-    assert models.installed_models("http://models:1") == ["m:1b"]
-
-
-def test_unreachable_server_gives_null(spark):
-    settings = Settings(model_base_url="http://127.0.0.1:9")
-    rows = spark.createDataFrame([("p",)], "p string")
-    assert rows.select(models.generator(settings)(F.col("p")).alias("r")).first().r is None
-    assert models.installed_models("http://127.0.0.1:9") is None
-
-
-def test_streamed_reply():
-    lines = [b'{"response": "One "}\n', b"\n", b'{"response": "two", "done": true}', b'{"response": "never"}']
-    assert models.stream_text(lines) == "One two"
 
 
 def test_settings_from_environment(monkeypatch):

@@ -46,10 +46,23 @@ def test_plain_text_rules(spark):
     assert json.pages[0].text.startswith('{"some"')
 
 
-def test_text_ceiling(spark):
-    rows = spark.createDataFrame([("a" * 50,)], "t string")
-    got = rows.select(fm.parse_plain_text(F.col("t"), Settings(max_text_chars=30)).alias("p")).first().p
-    assert len(got.pages[0].text) == 30
+def test_long_text_is_whole(spark):
+    rows = spark.createDataFrame([("word " * 100_000 + "last",)], "t string")
+    got = rows.select(fm.parse_plain_text(F.col("t")).alias("p")).first().p
+    assert len(got.pages[0].text) == 500_004
+
+
+def test_html_references_and_open_ends(spark):
+    markup = "<p>one</p>Profit AT&T &amp; caf&eacute; &#233;&#xE9; &nosuch; &amp<!-- <p>no --> x<script>y</p>"
+    rows = spark.createDataFrame([(markup,), (None,), ("",)], "h string")
+    got = [r.t for r in rows.select(parsers.html_text(F.col("h")).alias("t")).collect()]
+    assert got == ["one Profit AT&T & caf\u00e9 \u00e9\u00e9 &nosuch; & x", None, ""]
+
+
+def test_long_cells_and_corrupt_packages():
+    assert parsers.csv_records("a," + "b" * 140_000)[0][1] == "b" * 140_000
+    good = office.write_docx([LINES])
+    assert parsers.office_pages(good[:200] + b"\0" * 40 + good[240:], "docx") is None
 
 
 def test_office_files(spark):
