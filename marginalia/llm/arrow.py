@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,6 +30,16 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
+
+
+def release() -> None:
+    """Hand freed memory back to the system; Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of at most ``limit`` bytes of text each, or of one row."""
     for batch in batches:
@@ -39,6 +51,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+            release()
 
 
 def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.arrow import TokenMemory, ranges, slices
 
 WIDE = 64
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 _NONE = np.int32(2**31 - 1)
 _PROBE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.arrow import slices, stored, words
+from marginalia.llm.arrow import release, slices, stored, words
 
 ORDER = 2
 BLOCK_BYTES = 4 << 20
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 #: Hashes of n-grams of several words have so many bits more than their number has; one n-gram in 2^20
 #: meets another one. Single words have all 64 bits.
 HASH_BITS = 20
@@ -155,6 +155,7 @@ def _sent(order: int, bits: int, slices_: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row in rows.itertuples():
+                release()
                 block = _Block(row, order, bits)
                 trained = block.trained()
                 for k in range(1, order + 1):
@@ -190,6 +191,7 @@ def _whole(data: bytes, kind: str) -> np.ndarray:
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     """Add up one slice; answers each block with the sums of its n-grams, all and without held-out ones."""
+    release()
     keys = [np.cumsum(_whole(x, "<u8"), dtype=np.uint64) for x in rows["keys"]]
     n = [_whole(x, "<u4") for x in rows["n"]]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -245,6 +247,7 @@ def _held_out(order: int, bits: int, tokens: int):
     """Counts of held-out tokens per bucket and binned estimates."""
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        release()
         block = _Block(next(blocks.itertuples()), order, bits)
         made, bucket, _ = _estimates(block, answers, "kept", tokens)
         cell = bucket
@@ -284,6 +287,7 @@ def _scored(order: int, bits: int, tokens: int, distinct: int, weights: np.ndarr
     uniform = 1 / (distinct + 1)
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        release()
         block = _Block(next(blocks.itertuples()), order, bits)
         made, bucket, known = _estimates(block, answers, "n", tokens)
         mixed = weights[bucket]

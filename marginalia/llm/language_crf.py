@@ -37,6 +37,8 @@ SWITCHES = 0.3
 BUCKETS = 1 << 17
 ROUNDS, STEP, DECAY = 40, 0.4, 1e-6
 _AFFIX = 4
+#: Text that a task labels at a time.
+SLICE_BYTES = 2 << 20
 _CELLS = 300_000
 
 
@@ -258,7 +260,7 @@ def predicted(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             codes, bounds, lines, vocabulary = _coded(part["text"])
             ends = bounds[lines]
             sums = np.zeros((len(part), max(1, len(model.labels))))
@@ -284,7 +286,7 @@ def labelled_runs(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             codes, bounds, lines, vocabulary = _coded(part["text"])
             ends = bounds[lines]
             best = _posteriors(model, codes, bounds, vocabulary).argmax(axis=1) if model.labels else None
