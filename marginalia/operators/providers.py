@@ -41,11 +41,17 @@ def load_configs(spark: SparkSession, path: str, settings: Settings = DEFAULTS)
 
 
 def upsert_configs(configs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or replace configurations; a new default demotes the other defaults of its role."""
-    promoted = incoming.filter("is_default").groupBy("role").agg(F.first("id").alias("_default"))
+    """Insert or replace configurations; a new default demotes the other defaults of its role.
+
+    Of several new defaults of one role the one with the smallest id stays the default.
+    """
+    promoted = incoming.filter("is_default").groupBy("role").agg(F.min("id").alias("_default"))
     kept = configs.join(incoming.select("id"), "id", "left_anti").join(promoted, "role", "left")
     demoted = kept.withColumn("is_default", F.col("is_default") & F.col("_default").isNull())
-    return demoted.select(*configs.columns).unionByName(incoming.select(*configs.columns))
+    added = incoming.join(promoted, "role", "left").withColumn(
+        "is_default", F.col("is_default") & F.col("id").eqNullSafe(F.col("_default"))
+    )
+    return demoted.select(*configs.columns).unionByName(added.select(*configs.columns))
 
 
 def delete_config(configs: DataFrame, config_id: str) -> DataFrame:

@@ -306,7 +306,7 @@ def _good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keyword_search_scope_postlimit(spark, sf_dir):
     """Scope after the library-wide limit: can return fewer rows than exist."""
-    rows = keyword_retrieve(derive.evidence(spark, sf_dir), SEARCH_QUERY, _good_documents(spark, sf_dir))
+    rows = keyword_retrieve(derive.evidence(spark, sf_dir), SEARCH_QUERY, _good_documents(spark, sf_dir), prefilter=False)
     return rows.select("rank", "id", "match_score", "score")
 
 
@@ -566,8 +566,9 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     paged = derive.paged_evidence(spark, sf_dir)
     hits = keyword.keyword_search_batch(paged, derive.questions(spark, sf_dir))
     rows = hits.join(paged.select("id", "document_id", "document_name", "page", "ocr_confidence"), "id")
-    again = rows.filter(F.col("rank") == 1).withColumn("rank", F.lit(100))
-    return rows.unionByName(again).withColumn("document_id", F.when(F.col("query_id") % 2 == 0, F.col("document_id")))
+    ranks = F.when(F.col("rank") == 1, F.array("rank", F.lit(100))).otherwise(F.array("rank"))
+    twice = rows.withColumn("rank", F.explode(ranks))
+    return twice.withColumn("document_id", F.when(F.col("query_id") % 2 == 0, F.col("document_id")))
 
 
 @query

@@ -81,7 +81,7 @@ def upload_document_rows(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("suffix").isin(*IMAGE_EXTENSIONS), "ocr_dependent").otherwise("structural").alias("fidelity_tier"),
         F.greatest(F.coalesce("probed_pages", F.lit(1)), F.lit(1)).cast("int").alias("pages"),
         F.lit("New upload").alias("category"),
-        F.concat(F.lit("ver_"), F.substring(F.sha2("document_id", 256), 1, 12)).alias("current_version_id"),
+        F.concat(F.lit("ver_"), F.sha2("document_id", 256)).alias("current_version_id"),
         "created_at",
         F.col("created_at").alias("updated_at"),
         F.array().cast("array<string>").alias("tags"),

@@ -66,6 +66,10 @@ def test_lists_and_counts(spark):
     page = library.list_documents(rows, "ready", 2).collect()
     assert [r.id for r in page] == ["doc_0", "doc_1"] and all(r.has_more for r in page)
     assert not library.list_documents(rows, "ready", 3).first().has_more
+    everything = [r.doc_seq for r in library.list_documents(rows, limit=100).collect()]
+    first = [r.doc_seq for r in library.list_documents(rows, limit=2).collect()]
+    rest = [r.doc_seq for r in library.list_documents(rows, limit=100, after_seq=first[-1]).collect()]
+    assert first + rest == everything
     assert library.filter_library(rows, " a.T", "ready").count() == 3
     assert library.filter_library(rows, "", "attention").count() == 2
     stats = library.library_stats(rows).first()

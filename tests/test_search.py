@@ -111,8 +111,12 @@ def test_partial_top_k_drops_rows_below_the_floor():
 def test_scope_before_and_after_the_limit(spark):
     snippets = ["falcon falcon"] * 20 + ["falcon"]
     rows = evidence(spark, [f"{s} {n}" for n, s in enumerate(snippets)])
-    late = sr.keyword_retrieve(rows, "falcon", ["doc_20"]).collect()
-    early = sr.keyword_retrieve(rows, "falcon", ["doc_20"], prefilter=True).collect()
+    late = sr.keyword_retrieve(rows, "falcon", ["doc_20"], prefilter=False).collect()
+    early = sr.keyword_retrieve(rows, "falcon", ["doc_20"]).collect()
+    assert late == [] and [r.document_id for r in early] == ["doc_20"]
+    queries = spark.createDataFrame([("q", "falcon")], "query_id string, query string")
+    late = sr.search(sr.retrieve(rows, queries, ["doc_20"], prefilter=False)).collect()
+    early = sr.search(sr.retrieve(rows, queries, ["doc_20"])).collect()
     assert late == [] and [r.document_id for r in early] == ["doc_20"]
     scope = spark.createDataFrame([("doc_3",), ("doc_3",)], "document_id string")
     assert [r.document_id for r in sr.keyword_retrieve(rows, "falcon", scope).collect()] == ["doc_3"]
@@ -121,6 +125,15 @@ def test_scope_before_and_after_the_limit(spark):
     assert sr.resolve_scope("document", "doc_1") == ["doc_1"]
 
 
+def test_a_request_gets_as_many_rows_as_it_asks_for(spark):
+    rows = evidence(spark, [f"falcon {n}" for n in range(25)])
+    queries = spark.createDataFrame([("q", "falcon")], "query_id string, query string")
+    found = sr.search(sr.retrieve(rows, queries, top_k=20), 20).orderBy("rank").collect()
+    assert [r.document_id for r in found] == [f"doc_{n}" for n in range(20)]
+    assert sr.keyword_retrieve(rows, "falcon", top_k=20).count() == 20
+    assert sr.search(sr.retrieve(rows, queries), 20).count() == 12
+
+
 def test_search_finds_a_document_and_reports_the_constant_score(spark):
     rows = evidence(spark, ["Falcon records must stay on the local machine for 18 months.", "Other"])
     queries = spark.createDataFrame([("q", "falcon records 18 months")], "query_id string, query string")

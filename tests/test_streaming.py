@@ -40,7 +40,9 @@ def test_file_stream_picks_up_new_files_once(spark, tmp_path):
     (uploads / "empty.txt").write_text("....")
     run()
     run()  # nothing new
-    assert [s for _, s in snippets(spark, root)] == sorted(LONG.format(n) for n in (1, 2)) or len(snippets(spark, root)) == 2
+    assert sorted(s for _, s in snippets(spark, root)) == [LONG.format(n) for n in (1, 2)]
+    (rejected,) = si.rejected_files(spark, root).collect()
+    assert (rejected.document_name, rejected.size_bytes, rejected.reason_code) == ("skip.exe", 100, "unsupported_file_type")
     jobs = tables.read_batches(spark, root, "jobs", si.JOB_COLUMNS)
     assert sorted(r.status for r in jobs.collect()) == ["failed", "ready", "ready"]
     documents = tables.read_batches(spark, root, "documents", si.DOCUMENT_COLUMNS)
