@@ -281,12 +281,17 @@ def vector_topk_scoped(spark, sf_dir):
     return hits.select("rank", "id", _r6(F.col("score")).alias("score"))
 
 
+def _question_vectors(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """A vector stands for the conversation of the same number."""
+    asked = questions.select("query_id", (F.floor(F.col("query_id") / 1000)).alias("seq"))
+    return asked.join(vectors.select("seq", "embedding"), "seq").select("query_id", "embedding")
+
+
 @query
 def vector_topk_batch(spark, sf_dir):
-    """Every vector as a query."""
+    """The vector of every question that has one, against all vectors."""
     vectors = derive.vectors(spark, sf_dir)
-    queries = vectors.select(F.col("seq").alias("query_id"), "embedding")
-    hits = vector_search_batch(vectors, queries)
+    hits = vector_search_batch(vectors, _question_vectors(derive.questions(spark, sf_dir), vectors))
     return hits.select("query_id", "rank", "id", _r6(F.col("score")).alias("score"))
 
 
@@ -349,14 +354,12 @@ def vector_first_retrieval(spark, sf_dir):
     """Vector hits first, keyword hits for questions without any."""
     evidence = derive.evidence(spark, sf_dir)
     vectors = derive.vectors(spark, sf_dir)
-    # A vector stands for the document of the same number; every third question has a query vector.
+    # A vector stands for the document of the same number, too.
     placed = vectors.select(
         F.concat(F.lit("ev_"), F.col("seq").cast("string"), F.lit("_0001")).alias("id"), "seq", "document_id", "embedding"
     )
     questions = derive.questions(spark, sf_dir)
-    asked = questions.select("query_id", (F.floor(F.col("query_id") / 1000)).alias("seq"))
-    query_vectors = asked.join(vectors.select("seq", "embedding"), "seq").select("query_id", "embedding")
-    found = retrieve(evidence, questions, vectors=placed, query_vectors=query_vectors)
+    found = retrieve(evidence, questions, vectors=placed, query_vectors=_question_vectors(questions, vectors))
     return search(found).select("query_id", "rank", "id", _r6(F.col("score")).alias("score"))
 
 

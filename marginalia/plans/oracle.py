@@ -407,7 +407,8 @@ s AS (SELECT vec_id, round(list_cosine_similarity(v, qv), 12) AS c FROM vecs, q
 SELECT CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INTEGER) AS rank, 'vec_' || vec_id AS id, round(least(1.0, c), 6) AS score
 FROM s WHERE c >= 0 QUALIFY rank <= 12""",
     "vector_topk_batch": f"""WITH {VECTORS},
-s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(b.v, a.v), 12) AS c FROM vecs a, vecs b)
+qv AS (SELECT conv_id * 1000 + turn AS query_id, v FROM conversations JOIN vecs ON vec_id = conv_id WHERE role = 'user'),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(b.v, qv.v), 12) AS c FROM qv, vecs b)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS INTEGER) AS rank, 'vec_' || vec_id AS id, round(least(1.0, c), 6) AS score
 FROM s WHERE c >= 0.35 QUALIFY rank <= 12""",
     "keyword_search": _keyword(),

@@ -65,6 +65,19 @@ def test_reingest_replaces_and_retries_are_harmless(spark, tmp_path):
     assert snippets(spark, root) == want[1:]
 
 
+def test_vectors_follow_the_newest_evidence(spark, tmp_path):
+    root = str(tmp_path / "root")
+    write = si.store_batch(root, embedder=lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
+    write(parsed(spark, LONG.format(1), LONG.format(2)), 0)
+    write(parsed(spark, LONG.format(300)), 1)
+    evidence = sorted((r.id, r.snippet) for r in si.current_evidence(spark, root).collect())
+    vectors = sorted((r.id, r.snippet) for r in si.current_vectors(spark, root).collect())
+    assert vectors == evidence and [s for _, s in vectors] == [LONG.format(300), LONG.format(2)]
+    assert {r.embedding[0] for r in si.current_vectors(spark, root).collect()} == {float(len(s)) for _, s in evidence}
+    write(parsed(spark, "...."), 2)
+    assert [r.document_id for r in si.current_vectors(spark, root).collect()] == ["doc_1"]
+
+
 class Session:
     """Just what ``shared_dir`` asks of a session."""
 
