@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.schemas import RUNNING_STATES
 
-# Progress per stage, and the errors a job can end with.
+# Progress per stage.
 STAGE_PROGRESS = {
     "queued": 0, "parsing": 5, "chunking": 62, "summarizing": 72, "embedding": 82, "indexing": 92, "ready": 100,
     "failed": 100,
@@ -16,8 +16,11 @@ OCR_START_PCT = 5
 OCR_SPAN_PCT = 55
 OCR_MAX_PCT = 60
 REPORT_EVERY = 5
-INTERRUPTED = "Processing stopped when the service restarted. The file is still stored — retry to process it again."
-NO_CONTENT = "No readable text was found in this file (via native parsing or OCR)."
+
+#: Errors a job can end with.
+INTERRUPTED = "A restart cut this ingest off. Ask for a retry to run it again."
+NO_CONTENT = "The file was read, but it holds nothing that could be turned into text."
+NO_PAGES = "The text of this file comes from a table of pages, and none has arrived yet."
 
 
 def error_map(stage: Column, reason: str, message: str) -> Column:
@@ -114,10 +117,16 @@ def finish(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Final (document updates, job updates) of an ingest.
 
     ``parsed`` needs document_id, job_id, has_content, has_chunks, fidelity_tier, page_count,
-    probed_pages and the summary struct. A file without content fails its job; a parsed file without
-    chunks leaves its job ready and its document in review.
+    probed_pages and the summary struct. A file without content fails its job, as ``awaiting_pages`` where
+    the optional column ``awaits_pages`` holds; a parsed file without chunks leaves its job ready and its
+    document in review.
     """
     ok = F.col("has_content")
+    waits = F.col("awaits_pages") if "awaits_pages" in parsed.columns else F.lit(False)
+    parsing = F.lit("parsing")
+    error = F.when(~ok & waits, error_map(parsing, "awaiting_pages", NO_PAGES)).when(
+        ~ok, error_map(parsing, "no_extractable_content", NO_CONTENT)
+    )
     documents = parsed.select(
         F.col("document_id").alias("id"),
         F.when(ok & F.col("has_chunks"), "ready").otherwise("review").alias("status"),
@@ -134,7 +143,7 @@ def finish(parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
         F.when(ok, "ready").otherwise("failed").alias("status"),
         F.when(ok, "ready").otherwise("failed").alias("stage"),
         F.lit(100).alias("progress_pct"),
-        F.when(~ok, error_map(F.lit("parsing"), "no_extractable_content", NO_CONTENT)).alias("error"),
+        error.alias("error"),
         now.alias("updated_at"),
     )
     return documents, jobs

@@ -20,11 +20,11 @@ from marginalia.operators import grounding as gr
 from marginalia.operators.vector import vector_search, vector_search_batch
 from marginalia.plans import derive
 from marginalia.plans.ask import ask
-from marginalia.plans.ingest import ingest
-from marginalia.plans.search import dedupe_hits, keyword_retrieve, retrieve, search
+from marginalia.plans.ingest import full_text, ingest, parse_files, parsed_pages
+from marginalia.plans.search import dedupe_hits, first_per_document, keyword_retrieve, retrieve, search
 from marginalia.session import shared_dir, spread
 from marginalia.sources import formats as fm
-from marginalia.sources import parsers
+from marginalia.sources import parsers, tables
 from marginalia.streaming import ingest as stream
 from marginalia.streaming import tokens
 
@@ -102,11 +102,8 @@ def csv_rows_to_text(spark, sf_dir):
 @query
 def csv_files_to_text(spark, sf_dir):
     """Each document as a CSV file with one quoted cell per line, parsed and joined again."""
-    content = F.array_join(
-        F.transform(F.split("text", "\n"), lambda l: F.concat(F.lit('"'), F.replace(l, F.lit('"'), F.lit('""')), F.lit('", , x'))),
-        "\n",
-    )
-    rows = derive.documents(spark, sf_dir).select("doc_id", parsers.csv_records_udf(content).alias("records"))
+    records = parsers.csv_records_udf(derive.csv_content(F.col("text")))
+    rows = derive.documents(spark, sf_dir).select("doc_id", records.alias("records"))
     return rows.select("doc_id", F.size("records").alias("records"), F.md5(parsers.csv_text(F.col("records"))).alias("text_md5"))
 
 
@@ -212,6 +209,90 @@ def office_pages(spark, sf_dir):
     )
 
 
+@query
+def dispatched_files(spark, sf_dir):
+    """Uploads of seven kinds, admitted and parsed by suffix, with what became of each."""
+    accepted, rejected = fm.admit(derive.mixed_files(spark, sf_dir))
+    pages = F.col("parsed.pages")
+    outcome = (
+        F.when(pages.isNotNull(), "parsed")
+        .when(F.col("suffix").isin(*fm.PREVIEWABLE_EXTENSIONS), "awaiting_pages")
+        .otherwise("no_extractable_content")
+    )
+    parsed = parse_files(accepted).select(
+        "doc_id", "suffix", outcome.alias("outcome"), F.col("parsed.fidelity_tier").alias("fidelity_tier"),
+        F.col("parsed.page_count").alias("page_count"), F.md5(full_text(pages)).alias("text_md5"),
+    )
+    refused = rejected.select("doc_id", "suffix", F.col("reason_code").alias("outcome"))
+    return parsed.unionByName(refused, allowMissingColumns=True)
+
+
+def _ingested_pages(spark: SparkSession, sf_dir: str):
+    uploads = parsed_pages(derive.scanned_uploads(spark, sf_dir), derive.boxed_pages(spark, sf_dir), "tesseract")
+    return ingest(uploads, now=_now())
+
+
+@query
+def page_ingest_outcomes(spark, sf_dir):
+    """Final states of uploads whose text comes as page rows; images have none yet."""
+    made = _ingested_pages(spark, sf_dir)
+    ended = made.job_updates.select(
+        F.col("document_id").alias("id"), F.col("status").alias("job_status"),
+        F.element_at("error", "reason_code").alias("reason_code"),
+    )
+    return made.document_updates.select("id", "status", "fidelity_tier", "pages").join(ended, "id")
+
+
+@query
+def page_evidence(spark, sf_dir):
+    """Evidence of page rows: native and recognised pages, some of them with a box."""
+    return _ingested_pages(spark, sf_dir).evidence.select(
+        "id", "page", "line_start", "line_end", "anchor_quality", "fidelity_tier",
+        _r6(F.col("ocr_confidence")).alias("ocr_confidence"), _r6(F.col("bbox.height")).alias("box_height"),
+        F.md5("snippet").alias("snippet_md5"),
+    )
+
+
+def _digest_model(prompt: Column) -> Column:
+    """Stands for a language model: a digest of the prompt, or words too short to be used."""
+    digest = F.concat(F.lit("Digest "), F.md5(prompt), F.lit("."))
+    return F.concat(F.lit("Summary: "), F.when(F.length(prompt) % 2 == 1, digest).otherwise("Too short."))
+
+
+@query
+def abstractive_outcomes(spark, sf_dir):
+    """A whole-corpus ingest with a summary model; its words count where they are long enough."""
+    made = ingest(derive.parsed_documents(spark, sf_dir), summarizer=_digest_model, summarizer_name="digest", now=_now())
+    return made.document_updates.select("id", "status", "summary", "summary_method", "summary_provider")
+
+
+@query
+def evidence_vectors(spark, sf_dir):
+    """The vector of every chunk by a pluggable model."""
+    made = ingest(derive.parsed_documents(spark, sf_dir), embedder=derive.letter_model, now=_now())
+    parts = [F.get("embedding", F.lit(i)).cast("int").alias(name) for i, name in enumerate(("chars", "blanks", "es"))]
+    return made.vectors.select("id", "document_id", *parts)
+
+
+def _stored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus ingested into batch tables, and its evidence as search reads it."""
+    root = f"{shared_dir(spark)}/library-{uuid.uuid4().hex}"
+    stream.store_batch(root)(derive.parsed_documents(spark, sf_dir), 0)
+    return stream.current_evidence(spark, root)
+
+
+@query
+def stored_keyword_search(spark, sf_dir):
+    """``keyword_search`` over evidence that was stored once."""
+    return _found(_stored_evidence(spark, sf_dir))
+
+
+@query
+def stored_answers(spark, sf_dir):
+    """``ask_answers`` over evidence that was stored once."""
+    return _answers(ask(retrieve(_stored_evidence(spark, sf_dir), derive.questions(spark, sf_dir))))
+
+
 @query
 def incremental_ingest(spark, sf_dir):
     """The corpus ingested by the stream into batch tables, then read back as current evidence."""
@@ -298,10 +379,14 @@ def vector_topk_batch(spark, sf_dir):
 # --- search ------------------------------------------------------------------------------------
 
 
+def _found(evidence: DataFrame) -> DataFrame:
+    rows = keyword_retrieve(evidence, SEARCH_QUERY)
+    return rows.select("rank", "id", "document_id", "match_score", "score", "snippet")
+
+
 @query
 def keyword_search(spark, sf_dir):
-    rows = keyword_retrieve(derive.evidence(spark, sf_dir), SEARCH_QUERY)
-    return rows.select("rank", "id", "document_id", "match_score", "score", "snippet")
+    return _found(derive.evidence(spark, sf_dir))
 
 
 def _good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,7 +568,10 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ask_answers(spark, sf_dir):
     """Every user turn answered end to end: retrieve, dedupe, synthesize, gate, bind, score."""
-    rows = _responses(spark, sf_dir)
+    return _answers(_responses(spark, sf_dir))
+
+
+def _answers(rows: DataFrame) -> DataFrame:
     return rows.select(
         "query_id", "outcome", "answer", "refusal_reason", "retrieved_chunk_count",
         F.array_join(F.transform("citations", lambda c: c["evidence_unit_id"]), ",").alias("cited"),
@@ -528,6 +616,19 @@ def library_list(spark, sf_dir):
     return rows.select("id", "name", "status", "has_more")
 
 
+@query
+def library_next_page(spark, sf_dir):
+    """The page after that of ``library_list``, by its last row."""
+    rows = derive.library(spark, sf_dir)
+    last = library.list_documents(rows, status="ready").agg(F.max("doc_seq")).first()[0]
+    return library.list_documents(rows, status="ready", after_seq=last).select("id", "name", "status", "has_more")
+
+
+@query
+def document_lookup(spark, sf_dir):
+    return library.by_id(derive.library(spark, sf_dir), "doc_7").select("id", "name", "status", "pages")
+
+
 @query
 def library_filter(spark, sf_dir):
     rows = library.filter_library(derive.library(spark, sf_dir), " SRC1 ", "attention")
@@ -574,6 +675,15 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.withColumn("document_id", F.when(F.col("query_id") % 2 == 0, F.col("document_id")))
 
 
+@query
+def first_hits(spark, sf_dir):
+    """The best hit of every document for every user turn."""
+    paged = derive.paged_evidence(spark, sf_dir)
+    hits = keyword.keyword_search_batch(paged, derive.questions(spark, sf_dir))
+    results = hits.join(paged.select("id", "document_id"), "id")
+    return first_per_document(results).select("query_id", "document_id", "rank", "id")
+
+
 @query
 def citation_groups(spark, sf_dir):
     """Citations of every answer by document; half of the answers know only document names."""
@@ -742,20 +852,34 @@ def deleted_vectors(spark, sf_dir):
     return changes.delete_documents(vectors, gone).select("id", "document_id")
 
 
-@query
-def demoted_configs(spark, sf_dir):
-    """Supplier rows as provider configurations, with the highest key of each role promoted."""
-    rows = derive.table(spark, sf_dir, "supplier", "s_suppkey")
-    role = F.when(F.col("s_suppkey") % 2 == 0, "chat").otherwise("embedding")
-    existing = rows.select(
+ROLE = "CASE WHEN s_suppkey % 2 = 0 THEN 'chat' ELSE 'embedding' END"
+
+
+def _configs(rows: DataFrame) -> DataFrame:
+    """Supplier rows as provider configurations."""
+    return rows.select(
         F.concat(F.lit("cfg_"), F.col("s_suppkey").cast("string")).alias("id"),
-        role.alias("role"),
+        F.expr(ROLE).alias("role"),
         F.when(F.col("s_suppkey") % 3 == 0, "ollama").otherwise("openai").alias("provider_type"),
         F.lit("m").alias("model_name"),
         *[F.lit(None).cast("string").alias(n) for n in ("base_url", "api_key_ref")],
         (F.col("s_suppkey") % 4 == 0).alias("is_default"),
     )
-    newest = rows.groupBy(role.alias("role")).agg(F.max("s_suppkey").alias("n"))
+
+
+@query
+def remaining_configs(spark, sf_dir):
+    """Configurations left after deleting one."""
+    rows = _configs(derive.table(spark, sf_dir, "supplier", "s_suppkey"))
+    return providers.delete_config(rows, "cfg_3").select("id", "role", "provider_type", "is_default")
+
+
+@query
+def demoted_configs(spark, sf_dir):
+    """Configurations with the highest key of each role promoted."""
+    rows = derive.table(spark, sf_dir, "supplier", "s_suppkey")
+    existing = _configs(rows)
+    newest = rows.groupBy(F.expr(ROLE).alias("role")).agg(F.max("s_suppkey").alias("n"))
     incoming = newest.select(
         F.concat(F.lit("cfg_"), F.col("n").cast("string")).alias("id"), "role", F.lit("ollama").alias("provider_type"),
         F.lit("m2").alias("model_name"), *[F.lit(None).cast("string").alias(n) for n in ("base_url", "api_key_ref")],
@@ -786,10 +910,8 @@ def evolved_evidence(spark, sf_dir):
     return rows.select("id", "line_end", "anchor_quality", "fidelity_tier", F.isnull("ocr_engine").alias("native"))
 
 
-@query
-def quarantined_documents(spark, sf_dir):
-    """Rows of a damaged library that break a rule, with the rules they break."""
-    rows = derive.library(spark, sf_dir).withColumns(
+def _damaged_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.library(spark, sf_dir).withColumns(
         {
             "status": F.when(F.col("doc_seq") % 7 == 0, "lost").otherwise(F.col("status")),
             "pages": F.when(F.col("doc_seq") % 11 == 0, 0).otherwise(F.col("pages")),
@@ -797,6 +919,23 @@ def quarantined_documents(spark, sf_dir):
             **{n: F.lit(None).cast("string") for n in ("summary", "summary_method", "summary_provider")},
         }
     )
+
+
+@query
+def exported_state(spark, sf_dir):
+    """A damaged library exported as JSON lines and read back, with the rules that its rows break."""
+    root = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    tables.write_state({"documents": _damaged_library(spark, sf_dir)}, root)
+    valid, bad = tables.read_exported(spark, root, "documents")
+    broken = bad.withColumn("violations", F.array_join("violations", "; "))
+    rows = valid.withColumn("violations", F.lit("")).unionByName(broken)
+    return rows.select("id", "name", "size_bytes", "violations")
+
+
+@query
+def quarantined_documents(spark, sf_dir):
+    """Rows of a damaged library that break a rule, with the rules they break."""
+    rows = _damaged_library(spark, sf_dir)
     _, bad = schemas.split_valid(rows, schemas.document_rules())
     return bad.select("id", F.array_join("violations", "; ").alias("violations"))
 

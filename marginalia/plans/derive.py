@@ -17,6 +17,7 @@ from marginalia.sources import formats as fm
 
 LINES_PER_PAGE = 10
 EXTENSIONS = ("txt", "md", "pdf", "csv", "png", "docx", "py", "exe")
+MIXED = ("docx", "xlsx", "pptx", "txt", "csv", "pdf", "exe")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -131,6 +132,65 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "suffix", office.write_office_udf("pages", "suffix").alias("payload"))
 
 
+def csv_content(text: Column) -> Column:
+    """A CSV file of one quoted cell per line, a blank one and ``x``."""
+    quoted = F.transform(
+        F.split(text, "\n"), lambda l: F.concat(F.lit('"'), F.replace(l, F.lit('"'), F.lit('""')), F.lit('", , x'))
+    )
+    return F.array_join(quoted, "\n")
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as uploads of seven kinds in turn; the last kind is not supported."""
+    suffix = F.get(F.array(*[F.lit(s) for s in MIXED]), (F.col("doc_id") % len(MIXED)).cast("int"))
+    packaged = F.col("suffix").isin(*fm.OFFICE_EXTENSIONS)
+    pages = F.transform(page_texts(F.col("text")), lambda p: F.split(p["text"], "\n\n"))
+    rows = documents(spark, sf_dir).withColumn("suffix", suffix).withColumn("pages", F.when(packaged, pages))
+    payload = (
+        F.when(packaged, office.write_office_udf("pages", "suffix"))
+        .when(F.col("suffix") == "csv", F.encode(csv_content(F.col("text")), "UTF-8"))
+        .otherwise(F.encode("text", "UTF-8"))
+    )
+    return rows.select(
+        "doc_id",
+        F.concat(F.lit("file."), F.col("suffix")).alias("name"),
+        payload.alias("payload"),
+        F.octet_length("text").alias("size_bytes"),
+    )
+
+
+def scanned_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF upload, and as an image of which no pages are known."""
+    rows = table(spark, sf_dir, "documents", "doc_id", "source")
+
+    def uploads(prefix: str, suffix: str) -> DataFrame:
+        number = F.col("doc_id").cast("string")
+        return rows.select(
+            F.concat(F.lit(prefix), number).alias("document_id"),
+            F.col("source").alias("document_name"),
+            F.col("doc_id").alias("doc_seq"),
+            F.concat(F.lit(f"job_{prefix}"), number).alias("job_id"),
+            F.lit(suffix).alias("suffix"),
+            F.lit(1).alias("probed_pages"),
+        )
+
+    return uploads("doc_", "pdf").unionByName(uploads("img_", "png"))
+
+
+def boxed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recognised_pages`` with a box on even pages whose number is not divisible by 3."""
+    page = F.col("page_number")
+    box = F.struct(
+        F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.5).alias("width"), (page / 1000.0).alias("height")
+    ).cast(schemas.BBOX)
+    return recognised_pages(spark, sf_dir).withColumn("ocr_bbox", F.when((page % 2 == 0) & (page % 3 != 0), box))
+
+
+def letter_model():
+    """A deterministic stand-in for an embedding model: characters, blanks and letters e of a text."""
+    return lambda texts: [[len(t), t.count(" "), t.count("e")] for t in texts]
+
+
 def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a native layer and a recognition result: odd pages are rich, pages divisible by 4
     have no recognised text, the other even pages have a sparse native layer."""

@@ -76,4 +76,7 @@ WRITERS = {"docx": write_docx, "xlsx": write_xlsx, "pptx": write_pptx}
 
 @F.pandas_udf(T.BinaryType())
 def write_office_udf(pages: pd.Series, suffix: pd.Series) -> pd.Series:
-    return pd.Series([WRITERS[s]([list(p) for p in doc]) for doc, s in zip(pages, suffix, strict=True)], dtype=object)
+    return pd.Series(
+        [None if doc is None else WRITERS[s]([list(p) for p in doc]) for doc, s in zip(pages, suffix, strict=True)],
+        dtype=object,
+    )

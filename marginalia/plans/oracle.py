@@ -336,6 +336,31 @@ pieces AS (
 )
 """
 
+CSV_TEXT = """array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN trim(l) = '' THEN 'x'
+  ELSE trim(l) || ' | x' END), chr(10))"""
+OFFICE_TEXT = """CASE k WHEN 0 THEN array_to_string(ls, chr(10))
+    WHEN 1 THEN 'Sheet: S' || page || chr(10) || array_to_string(list_transform(ls, lambda l, i: l || ' | ' || i), chr(10))
+    ELSE 'Slide ' || page || chr(10) || array_to_string(ls, chr(10)) END"""
+OFFICE_KEPT = "k <> 0 OR length(regexp_replace(array_to_string(ls, ''), '[^A-Za-z0-9]', '', 'g')) >= 20"
+
+SUMMARY_PROMPT = """'Summarize the following document in two or three sentences. Describe only what the document actually says; do not speculate or add outside context.'
+  || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Document:' || chr(10) || text || chr(10) || chr(10) || 'Summary:'"""
+EXTRACT = "coalesce(c.summary, trim(substr(regexp_replace(d.text, '\\s+', ' ', 'g'), 1, 600)))"
+
+ANSWERS = f"""{RESPONSES}
+SELECT query_id, CASE WHEN grounded THEN 'grounded' ELSE 'insufficient_evidence' END AS outcome, answer,
+  CASE WHEN n = 0 THEN 'insufficient_evidence' WHEN NOT grounded THEN 'citation_density_low' END AS refusal_reason,
+  CAST(n AS INTEGER) AS retrieved_chunk_count, CASE WHEN grounded THEN array_to_string(ids, ',') ELSE '' END AS cited,
+  'extractive' AS provider, CAST(CASE WHEN n = 0 THEN 0.0 ELSE 0.74 END AS DOUBLE) AS top_score,
+  CASE WHEN grounded THEN round(0.5 * 0.74 + 0.3 + 0.2 * len(ids) / n, 3) END AS confidence,
+  CASE WHEN grounded THEN round(len(ids) / n, 3) END AS coverage FROM responses"""
+
+PAGE_SPLIT = """SELECT CAST(substr(document_id, 5) AS BIGINT) AS doc_id, page_number AS page, string_split(text, chr(10) || chr(10)) AS ls
+  FROM merged WHERE text IS NOT NULL"""
+
+VIOLATIONS = """concat_ws('; ', CASE WHEN doc_id % 13 = 0 THEN 'size_bytes below 0' END,
+  CASE WHEN doc_id % 11 = 0 THEN 'pages below 1' END, CASE WHEN doc_id % 7 = 0 THEN 'unknown status' END)"""
+
 SQL: dict[str, str] = {
     "plain_text_admission": f"SELECT doc_id, CAST({ALNUM} AS INTEGER) AS alnum, CAST(length(text) AS INTEGER) AS chars, {ALNUM} >= 20 AS admitted FROM documents",
     "decoded_payloads": """SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN strlen(text) WHEN 1 THEN strlen(text) + 3 ELSE length(text) END AS INTEGER) AS payload_bytes,
@@ -345,8 +370,8 @@ SELECT page_id, trim(regexp_replace(replace(array_to_string(ps, ' '), ' ' || chr
     "csv_rows_to_text": """SELECT c_custkey, concat_ws(' | ', c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END,
   CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END) AS line FROM customer""",
     "csv_files_to_text": """SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS records,
-  md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN trim(l) = '' THEN 'x' ELSE trim(l) || ' | x' END), chr(10))) AS text_md5
-FROM documents""",
+  md5(%s) AS text_md5
+FROM documents""" % CSV_TEXT,
     "file_admission": f"""WITH {LIBRARY} SELECT id, file_type AS suffix,
   CAST(CASE WHEN file_type NOT IN ({_list(fm.SUPPORTED_EXTENSIONS)[1:-1]}) THEN 415 WHEN size_bytes > 52428800 THEN 413 ELSE 201 END AS INTEGER) AS status_code,
   CASE WHEN file_type NOT IN ({_list(fm.SUPPORTED_EXTENSIONS)[1:-1]}) THEN 'unsupported_file_type' WHEN size_bytes > 52428800 THEN 'file_too_large' ELSE 'accepted' END AS reason_code
@@ -378,22 +403,51 @@ FROM numbered WHERE trim(l) <> '' GROUP BY doc_id, i // 3""",
   CASE WHEN {ALNUM} < 20 THEN 'no_extractable_content' END AS reason_code FROM documents""",
     "office_pages": f"""WITH p AS (SELECT doc_id, page, ls, doc_id % 3 AS k FROM ({PAGE_LISTS}))
 SELECT doc_id, ['docx', 'xlsx', 'pptx'][k + 1] AS suffix, CASE k WHEN 0 THEN 'full_layout' ELSE 'structural' END AS fidelity_tier, page AS page_number,
-  md5(CASE k WHEN 0 THEN array_to_string(ls, chr(10))
-    WHEN 1 THEN 'Sheet: S' || page || chr(10) || array_to_string(list_transform(ls, lambda l, i: l || ' | ' || i), chr(10))
-    ELSE 'Slide ' || page || chr(10) || array_to_string(ls, chr(10)) END) AS text_md5
-FROM p WHERE k <> 0 OR length(regexp_replace(array_to_string(ls, ''), '[^A-Za-z0-9]', '', 'g')) >= 20""",
+  md5({OFFICE_TEXT}) AS text_md5
+FROM p WHERE {OFFICE_KEPT}""",
+    "dispatched_files": f"""WITH o AS (SELECT doc_id, page, ls, doc_id % 7 AS k FROM ({PAGE_LISTS}) WHERE doc_id % 7 < 3),
+office AS (SELECT doc_id, k, count(*) AS n, string_agg({OFFICE_TEXT}, chr(10) ORDER BY page) AS t FROM o WHERE {OFFICE_KEPT} GROUP BY 1, 2),
+plain AS (SELECT doc_id, doc_id % 7 AS k, CASE doc_id % 7 WHEN 3 THEN text ELSE {CSV_TEXT} END AS text FROM documents WHERE doc_id % 7 IN (3, 4)),
+made AS (
+  SELECT doc_id, k, n, t FROM office UNION ALL SELECT doc_id, k, 1, text FROM plain WHERE {ALNUM} >= 20
+)
+SELECT d.doc_id, ['docx', 'xlsx', 'pptx', 'txt', 'csv', 'pdf', 'exe'][d.doc_id % 7 + 1] AS suffix,
+  CASE WHEN t IS NOT NULL THEN 'parsed' WHEN d.doc_id % 7 = 5 THEN 'awaiting_pages' WHEN d.doc_id % 7 = 6 THEN 'unsupported_file_type'
+    ELSE 'no_extractable_content' END AS outcome,
+  CASE WHEN k IN (0, 3) THEN 'full_layout' WHEN k IS NOT NULL THEN 'structural' END AS fidelity_tier, CAST(n AS INTEGER) AS page_count, md5(t) AS text_md5
+FROM documents d LEFT JOIN made USING (doc_id)""",
+    "page_ingest_outcomes": f"""WITH {PAGE_ROWS},
+d AS (SELECT document_id AS id, CAST(count(text) AS INTEGER) AS n, bool_or(scanned) AS s FROM merged GROUP BY 1)
+SELECT id, CASE WHEN n > 0 THEN 'ready' ELSE 'review' END AS status, CASE WHEN n = 0 THEN NULL WHEN s THEN 'ocr_dependent' ELSE 'full_layout' END AS fidelity_tier,
+  nullif(n, 0) AS pages, CASE WHEN n > 0 THEN 'ready' ELSE 'failed' END AS job_status, CASE WHEN n = 0 THEN 'awaiting_pages' END AS reason_code FROM d
+UNION ALL SELECT 'img_' || doc_id, 'review', NULL, NULL, 'failed', 'awaiting_pages' FROM documents""",
+    "page_evidence": f"""WITH RECURSIVE {PAGE_ROWS}, {_chunk_cte(PAGE_SPLIT)},
+tiers AS (SELECT document_id, bool_or(scanned) AS s FROM merged GROUP BY 1)
+SELECT {EV_ID} AS id, c.page, line_start, line_end, CASE WHEN m.source = 'ocr' AND c.page % 3 <> 0 THEN 'bbox' ELSE 'paragraph' END AS anchor_quality,
+  CASE WHEN t.s THEN 'ocr_dependent' ELSE 'full_layout' END AS fidelity_tier, round(m.confidence, 6) AS ocr_confidence,
+  CASE WHEN m.source = 'ocr' AND c.page % 3 <> 0 THEN round(c.page / 1000.0, 6) END AS box_height, md5(snippet) AS snippet_md5
+FROM chunks c JOIN merged m ON m.document_id = 'doc_' || c.doc_id AND m.page_number = c.page JOIN tiers t ON t.document_id = m.document_id""",
+    "abstractive_outcomes": f"""WITH {TF}, p AS (SELECT doc_id, {SUMMARY_PROMPT} AS prompt FROM documents WHERE {ALNUM} >= 20)
+SELECT 'doc_' || d.doc_id AS id, CASE WHEN prompt IS NULL THEN 'review' ELSE 'ready' END AS status,
+  CASE WHEN length(prompt) % 2 = 1 THEN 'Digest ' || md5(prompt) || '.' WHEN prompt IS NOT NULL THEN {EXTRACT} END AS summary,
+  CASE WHEN length(prompt) % 2 = 1 THEN 'abstractive' WHEN prompt IS NOT NULL THEN 'extractive' END AS summary_method,
+  CASE WHEN length(prompt) % 2 = 1 THEN 'digest' END AS summary_provider
+FROM documents d LEFT JOIN p USING (doc_id) LEFT JOIN chosen c USING (doc_id)""",
+    "evidence_vectors": f"""WITH {EVIDENCE} SELECT id, document_id, CAST(length(snippet) AS INTEGER) AS chars,
+  CAST(length(snippet) - length(replace(snippet, ' ', '')) AS INTEGER) AS blanks, CAST(length(snippet) - length(replace(snippet, 'e', '')) AS INTEGER) AS es FROM ev""",
+    "stored_keyword_search": _keyword(),
+    "stored_answers": ANSWERS,
     "incremental_ingest": f"""WITH {EVIDENCE} SELECT id, document_id, document_name, line_end, seq, md5(snippet) AS snippet_md5 FROM ev""",
     "sentence_stats": f"""SELECT doc_id, CAST(len({_sentences('text')}) AS INTEGER) AS sentences,
   CAST(len(list_filter({_sentences('text')}, lambda s: len(regexp_split_to_array(trim(s), '\\s+')) >= 5)) AS INTEGER) AS long_sentences FROM documents""",
-    "extractive_summaries": f"""WITH {TF} SELECT d.doc_id, coalesce(c.summary, trim(substr(regexp_replace(d.text, '\\s+', ' ', 'g'), 1, 600))) AS summary
+    "extractive_summaries": f"""WITH {TF} SELECT d.doc_id, {EXTRACT} AS summary
 FROM documents d LEFT JOIN chosen c USING (doc_id)""",
     "model_summaries": """WITH b AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations),
 c AS (SELECT *, substr(t, 1, 600) AS clip FROM b)
 SELECT conv_id, turn, CASE WHEN length(t) <= 600 THEN t
   WHEN length(regexp_replace(clip, '[^.!?]*$', '')) - 1 > 300 THEN regexp_replace(clip, '[^.!?]*$', '')
   ELSE rtrim(clip) || '…' END AS summary FROM c""",
-    "summary_prompts": """WITH p AS (SELECT doc_id, 'Summarize the following document in two or three sentences. Describe only what the document actually says; do not speculate or add outside context.'
-  || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Document:' || chr(10) || text || chr(10) || chr(10) || 'Summary:' AS prompt FROM documents)
+    "summary_prompts": f"""WITH p AS (SELECT doc_id, {SUMMARY_PROMPT} AS prompt FROM documents)
 SELECT doc_id, CAST(length(prompt) AS INTEGER) AS chars, md5(prompt) AS prompt_md5 FROM p""",
     "hash_embeddings": f"""WITH t AS (SELECT doc_id, unnest({_words('lower(text)')}) AS w FROM documents),
 b AS (SELECT doc_id, CAST((('0x' || substr(sha256(w), 1, 2))::INTEGER) % 64 AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY 1, 2)
@@ -465,13 +519,7 @@ SELECT 'doc_' || doc_id AS document_id, round(0.5 * retrieval + 0.3 * ocr + 0.2
   round(ocr, 6) AS ocr, round(coverage, 6) AS coverage FROM a""",
     "stripped_markers": f"""WITH m AS (SELECT conv_id, turn, regexp_replace(text, '([.,])', ' [chunk:ev_1] \\1 ', 'g') AS t FROM conversations)
 SELECT conv_id, turn, {_strip('t')} AS answer FROM m""",
-    "ask_answers": f"""{RESPONSES}
-SELECT query_id, CASE WHEN grounded THEN 'grounded' ELSE 'insufficient_evidence' END AS outcome, answer,
-  CASE WHEN n = 0 THEN 'insufficient_evidence' WHEN NOT grounded THEN 'citation_density_low' END AS refusal_reason,
-  CAST(n AS INTEGER) AS retrieved_chunk_count, CASE WHEN grounded THEN array_to_string(ids, ',') ELSE '' END AS cited,
-  'extractive' AS provider, CAST(CASE WHEN n = 0 THEN 0.0 ELSE 0.74 END AS DOUBLE) AS top_score,
-  CASE WHEN grounded THEN round(0.5 * 0.74 + 0.3 + 0.2 * len(ids) / n, 3) END AS confidence,
-  CASE WHEN grounded THEN round(len(ids) / n, 3) END AS coverage FROM responses""",
+    "ask_answers": ANSWERS,
     "answer_stream": f"""{RESPONSES},
 t AS (SELECT query_id, string_split(answer, ' ') AS ps FROM responses WHERE answer <> ''),
 u AS (SELECT query_id, len(ps) AS n, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM t)
@@ -482,6 +530,9 @@ SELECT query_id, CAST(i AS INTEGER) AS token_index, CASE WHEN i < n - 1 THEN p |
 SELECT query_id, coalesce(answer, '') AS streamed, CASE WHEN grounded THEN 'grounded' ELSE 'insufficient_evidence' END AS outcome, answer FROM responses""",
     "library_list": f"""WITH {LIBRARY} SELECT id, name, status, (SELECT count(*) FROM library WHERE status = 'ready') > 25 AS has_more
 FROM library WHERE status = 'ready' ORDER BY doc_id LIMIT 25""",
+    "library_next_page": f"""WITH {LIBRARY}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM library WHERE status = 'ready')
+SELECT id, name, status, (SELECT count(*) FROM r) > 50 AS has_more FROM r WHERE n BETWEEN 26 AND 50""",
+    "document_lookup": f"WITH {LIBRARY} SELECT id, name, status, pages FROM library WHERE doc_id = 7",
     "library_filter": f"WITH {LIBRARY} SELECT id, name, status FROM library WHERE contains(lower(name), 'src1') AND status IN ('review', 'failed')",
     "library_stats": f"""WITH {LIBRARY} SELECT count(*) AS all_documents, count(*) FILTER (WHERE status = 'ready') AS ready,
   count(*) FILTER (WHERE status IN ('review', 'failed')) AS attention, CAST(sum(pages) AS BIGINT) AS total_pages FROM library""",
@@ -494,6 +545,9 @@ SELECT id, ext AS type, CASE WHEN size_bytes < 1048576 THEN CAST(greatest(1, flo
   CASE fidelity_tier WHEN 'full_layout' THEN 'Full layout' WHEN 'ocr_dependent' THEN 'OCR dependent' WHEN 'best_effort' THEN 'Best effort' ELSE 'Structural' END AS fidelity,
   {KINDS} AS kind, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN greatest(1, CAST(floor(m + 0.5) AS BIGINT)) || ' min ago' ELSE 'Today' END AS updated FROM x""",
     "inline_files": f"WITH {LIBRARY} SELECT id, file_type IN ({_list(fm.INLINE_SAFE_EXTENSIONS)[1:-1]}) AS inline, file_type IN ({_list(fm.PREVIEWABLE_EXTENSIONS)[1:-1]}) AS previewable FROM library",
+    "first_hits": f"""WITH RECURSIVE {PAGED}, {PAGED_EV}, {QUESTIONS}, {_batch_hits('chunk_ev')}
+SELECT h.query_id, e.document_id, h.rank, e.id FROM hits h JOIN chunk_ev e USING (id)
+QUALIFY row_number() OVER (PARTITION BY h.query_id, e.document_id ORDER BY h.rank) = 1""",
     "citation_groups": f"""{CITED} SELECT query_id, group_key, document_name, first_rank, CAST(len(ids) AS INTEGER) AS passages,
   array_to_string(ids, ',') AS passage_ids, round(min_confidence, 6) AS min_confidence, coalesce(min_confidence < 0.6, FALSE) AS low_confidence FROM grouped""",
     "citation_pages": f"{CITED} SELECT query_id, group_key, {PAGE_WORDS} AS pages FROM grouped",
@@ -554,6 +608,8 @@ SELECT l.id, CASE j.status WHEN 'ready' THEN 'ready' WHEN 'failed' THEN 'review'
   CASE WHEN j.status IN ('ready', 'failed') THEN {NOW_US} ELSE l.updated_us END AS updated_us
 FROM library l LEFT JOIN latest j ON j.document_id = l.id""",
     "deleted_vectors": "SELECT 'vec_' || vec_id AS id, 'doc_' || label AS document_id FROM embeddings WHERE label <> 3",
+    "remaining_configs": """SELECT 'cfg_' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'chat' ELSE 'embedding' END AS role,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'ollama' ELSE 'openai' END AS provider_type, s_suppkey % 4 = 0 AS is_default FROM supplier WHERE s_suppkey <> 3""",
     "demoted_configs": """WITH c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'chat' ELSE 'embedding' END AS role FROM supplier),
 m AS (SELECT role, max(k) AS k FROM c GROUP BY 1)
 SELECT 'cfg_' || c.k AS id, c.role, CASE WHEN c.k = m.k OR c.k % 3 = 0 THEN 'ollama' ELSE 'openai' END AS provider_type,
@@ -563,8 +619,8 @@ SELECT 'cfg_' || c.k AS id, c.role, CASE WHEN c.k = m.k OR c.k % 3 = 0 THEN 'oll
     "evolved_evidence": f"""WITH RECURSIVE {BUDGET}
 SELECT 'old_ev_' || doc_id || '_0001' AS id, CAST(len({LINES}) AS INTEGER) AS line_end, 'paragraph' AS anchor_quality, 'full_layout' AS fidelity_tier, TRUE AS native FROM lib
 UNION ALL SELECT {EV_ID}, line_end, 'paragraph', 'full_layout', TRUE FROM chunks""",
-    "quarantined_documents": """SELECT 'doc_' || doc_id AS id, concat_ws('; ', CASE WHEN doc_id % 13 = 0 THEN 'size_bytes below 0' END,
-  CASE WHEN doc_id % 11 = 0 THEN 'pages below 1' END, CASE WHEN doc_id % 7 = 0 THEN 'unknown status' END) AS violations
+    "exported_state": f"""WITH {LIBRARY} SELECT id, name, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE size_bytes END AS size_bytes, {VIOLATIONS} AS violations FROM library""",
+    "quarantined_documents": f"""SELECT 'doc_' || doc_id AS id, {VIOLATIONS} AS violations
 FROM documents WHERE doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0""",
     "recognised_lines": f"""WITH {WORDS} SELECT document_id, page_number, par_num, line_num, first_pos, md5(text) AS text_md5, round(confidence, 9) AS confidence,
   x, y, round(width, 4) AS width, round(height, 4) AS height FROM boxed""",
