@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
 
 Words are runs between ASCII white space, in lower case and without marks at their ends. One pass over the
 documents finds the benchmark's n-grams (``GRAM`` words) and keeps *passages*: stretches of a document in
-which at least two different ones lie within ``GAP`` words, with as many words around them as the longest
-item has. The corpus frequency of every benchmark n-gram is counted over all documents. Seeds are the rare
-ones: of every ``WINDOW`` neighbouring n-grams of an item the one in the fewest documents, so every part of
-every item has seeds, however often the item itself was copied. Passages and items that share ``SEEDS``
-seeds (all, if an item has fewer) are aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1).
+which they lie within ``GAP`` words, with as many words around them as the longest item has. The corpus
+frequency of every benchmark n-gram is counted over all documents. Every n-gram of an item is a seed, so
+edits and exact copies elsewhere hide none. A passage and an item meet if they share ``SEEDS`` of them, or a
+single rare one, which at most ``RARE`` documents hold (an item of less than ``SEEDS`` n-grams: any). They are
+aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1) if enough of the item's words occur in
+the passage at all to reach the threshold, which rules out no pair that would.
 The score is the alignment's share of the item's best (2 per word); from ``THRESHOLD`` on it counts.
 
 The benchmark is cut into parts of about ``PART_WORDS`` words, by a hash of the item id; only the n-grams of
@@ -16,7 +17,7 @@ passages are shuffled, only counts and results are.
 Defined cases: null, empty, or markless texts and items have no n-grams and never match; an item shorter
 than ``GRAM`` words is searched as one n-gram of its own length; repeated rows are judged alike, one result
 per document id and item; null ids group together; empty tables give empty results; other columns are
-ignored.
+ignored. Copies edited so densely that no three words of the item stay together are out of reach.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from marginalia.llm.arrow import slices, stored, words
 
 GRAM = 3
 GAP = 40
-WINDOW = 3
 SEEDS = 2
+RARE = 1000
 THRESHOLD = 0.5
 MATCH, MISMATCH, SPACE = 2, -1, -1
 PART_WORDS = 1_000_000
@@ -72,8 +73,6 @@ class _Finder:
     def __init__(self, items: list[list[str]]):
         self.number = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for own in items for w in own))}
         self.margin = max((len(own) for own in items), default=0)
-        #: N-grams of items so short that a single one has to do.
-        self.lone = {g for own in items if len(set(item_grams(own))) < 2 * SEEDS for g in item_grams(own)}
         self.keys, self.names = {}, {}
         for n in sorted({min(GRAM, len(own)) for own in items if own}):
             same = [own for own in items if min(GRAM, len(own)) == n]
@@ -133,12 +132,8 @@ def _passages(finder: _Finder):
                 fresh = [g for g in dict.fromkeys(name.tolist()) if (row, g) not in counted]
                 counted.update((row, g) for g in fresh)
                 grams = sorted(set(name.tolist()))
-                if len(grams) < SEEDS and finder.lone.isdisjoint(grams):
-                    low = high = int(own[0])  # for the frequencies only
-                    grams = []
-                else:
-                    low = max(int(bounds[row]), int(own[0]) - finder.margin)
-                    high = min(int(bounds[row + 1]), int(own[-1]) + GRAM + finder.margin)
+                low = max(int(bounds[row]), int(own[0]) - finder.margin)
+                high = min(int(bounds[row + 1]), int(own[-1]) + GRAM + finder.margin)
                 out["doc_id"].append(ids[row])
                 out["first"].append(low - int(bounds[row]))
                 out["words"].append([clean[c] for c in codes[low:high]])
@@ -184,8 +179,9 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return (score / (MATCH * len(item)) if item else 0.0), stop - begin if back else 0, stop
 
 
-def _judged(items: list[tuple[int, list[str]]], seeds: list[list[int]]):
+def _judged(items: list[tuple[int, list[str]]], rare: set[int], threshold: float):
     """Joins passages to the items they share seeds with, by a hash table of the part's seeds, and aligns them."""
+    seeds = [sorted(set(item_grams(own))) for _, own in items]
     holders: dict[int, list[int]] = {}
     for i, own in enumerate(seeds):
         for gram in own:
@@ -196,10 +192,16 @@ def _judged(items: list[tuple[int, list[str]]], seeds: list[list[int]]):
         for rows in batches:
             found = []
             for row in rows.itertuples():
-                shared = Counter(i for gram in row.grams for i in holders.get(gram, ()))
+                # A rare seed alone is enough, so it counts as many.
+                shared: Counter[int] = Counter()
+                for gram in row.grams:
+                    for i in holders.get(gram, ()):
+                        shared[i] += SEEDS if gram in rare else 1
                 passage = list(row.words)
+                held = set(passage)
                 for i, n in shared.items():
-                    if n >= least[i]:
+                    own = items[i][1]
+                    if n >= least[i] and sum(w in held for w in own) / len(own) >= threshold:
                         score, first, stop = align(items[i][1], passage)
                         found.append((row.doc_id, items[i][0], score, row.first + first, row.first + stop - 1))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -207,25 +209,14 @@ def _judged(items: list[tuple[int, list[str]]], seeds: list[list[int]]):
     return run
 
 
-def _rarest(own: list[str], frequency: dict[int, int]) -> list[int]:
-    """The seeds of an item: in each window of neighbouring n-grams the one in the fewest documents."""
-    grams = item_grams(own)
-    span = min(WINDOW, len(grams))
-    chosen = {
-        min(range(i, i + span), key=lambda j: (frequency.get(grams[j], 0), j)) for i in range(len(grams) - span + 1)
-    }
-    return sorted({grams[j] for j in chosen})
-
-
 def _part(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
     finder = _Finder([own for _, own in items])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     passages = stored(rows.mapInArrow(_passages(finder), _PASSAGE), "passages")
     counts = passages.select(F.explode("own").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    frequency = {r["gram"]: r["n"] for r in counts.collect()}  # at most the n-grams of the part
-    seeds = [_rarest(own, frequency) for _, own in items]
-    passages = passages.filter(F.size("grams") > 0).select("doc_id", "first", "words", "grams")
-    scored = passages.mapInPandas(_judged(items, seeds), "doc_id long, item_id long, score double, first_word long, last_word long")
+    rare = {r["gram"] for r in counts.filter(F.col("n") <= RARE).collect()}  # at most the n-grams of the part
+    passages = passages.select("doc_id", "first", "words", "grams")
+    scored = passages.mapInPandas(_judged(items, rare, threshold), "doc_id long, item_id long, score double, first_word long, last_word long")
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     best = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")

@@ -472,6 +472,25 @@ def test_found_items_against_brute_force(spark, sf_dir, corpus):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(corpus, bench).collect()} == want
 
 
+@pytest.mark.parametrize("every", [4, 5])
+@pytest.mark.parametrize("copies", [0, 3])
+def test_edited_items_against_brute_force(spark, every, copies):
+    chance = np.random.default_rng(every)
+    items = [(n, [f"w{n}x{i}" for i in range(size)]) for n, size in enumerate((15, 16, 24, 48, 59))]
+    rows = []
+    for n, own in items:
+        rows.append([w if (i + 1) % every else "edited" for i, w in enumerate(own)])
+        for _ in range(20):
+            gone = chance.random(len(own)) < 1 / every
+            rows.append([f"e{chance.integers(9)}" if g else w for w, g in zip(own, gone)])
+        rows += [own] * copies
+    want = {(i, n) for i, r in enumerate(rows) for n, own in items if decontamination.align(own, r)[0] >= decontamination.THRESHOLD}
+    assert len(want) > 80
+    docs = spark.createDataFrame([(i, "zuk vopel tarn " * 9 + " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(own)) for n, own in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == want
+
+
 def test_alignment_against_the_full_matrix():
     chance = np.random.default_rng(2)
     for _ in range(60):
