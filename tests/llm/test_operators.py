@@ -622,6 +622,31 @@ def test_pipeline_against_brute_force(spark, sf_dir, corpus, ranks, monkeypatch)
     assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded_sha256"]) for r in found) == sorted(want)
 
 
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_deduplication_against_brute_force(spark, sf_dir):
+    chance = np.random.default_rng(8)
+    rows = []
+    for n in range(12):
+        own = [f"w{x}" for x in chance.integers(0, 5000, 120)]
+        for k in range(5):
+            edited = list(own)
+            for at in chance.choice(120, k, replace=False):
+                edited[at] = "edited"
+            rows.append((n * 5 + k, " ".join(edited)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    want = {min(i for i, g in enumerate(group) if g == own) for own in group}
+    assert 12 <= len(want) < 40
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    assert {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, sf_dir).collect()} == want
+
+
 def test_pipeline_stages_handle_edges(spark, sf_dir, edges, nothing):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (edges, nothing):
