@@ -647,6 +647,17 @@ def test_near_deduplication_against_brute_force(spark, sf_dir):
     assert {r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, sf_dir).collect()} == want
 
 
+def test_rows_without_or_with_shared_ids_are_judged_by_text(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    clean = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcd"]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (8, clean[2]), (None, item), (7, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    left = corpus_pipeline.near_deduplication(spark, docs, sf_dir)
+    assert bag(left.select("doc_id", "text").collect()) == sorted([(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (7, item)], key=repr)
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, sf_dir)
+    assert bag(left.select("doc_id", "text").collect()) == sorted(rows[:6], key=repr)
+
+
 def test_pipeline_stages_handle_edges(spark, sf_dir, edges, nothing):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (edges, nothing):
