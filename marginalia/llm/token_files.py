@@ -12,7 +12,8 @@ repeated or doubled task leaves whole files. Shards on a local or mounted file s
 other stores are read whole, shard by shard.
 
 Defined cases: a null text has the end id only; null document ids come first and are stored as the least
-64-bit integer; repeated ids are ordered by text; an empty table gives no shard; other columns are
+64-bit integer; repeated ids, and null ones, are ordered by a hash of
+their text and by text (so they do not all meet in one shard); an empty table gives no shard; other columns are
 ignored. Strings of special tokens in a text are ordinary text.
 """
 
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,77 +33,119 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm.arrow import TokenMemory, ranges, slices, words
+from marginalia.llm.arrow import ranges, slices, words
 
 REMEMBERED = 800_000
 NO_ID = -(2**63)
 _OUT = "shard int, name string, documents long, tokens long"
+#: Words that the library encodes in one call.
+_TOGETHER = 16_384
 
 
-#: Stands between words that the library encodes in one call; a private character of its own token ids.
-MARK = "\ue000"
-_TOGETHER = 512
+def parted(found: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words as stems and the full stops and commas after them, which tokens never join.
 
-
-def _parted(word: str) -> tuple[str, str]:
-    """A word as a stem and the full stops and commas after it, which tokens never join.
-
-    Stems in ASCII are lower-cased, as the tokenizer does.
+    Stems in ASCII are lower-cased, as the tokenizer does; a word whose stem does not end in a letter stays whole.
+    """
+    stem = pc.utf8_rtrim(found, characters=".,")
+    whole = pc.invert(pc.utf8_is_alpha(pc.utf8_slice_codeunits(stem, -1)))
+    cut = pc.utf8_length(stem).to_numpy(zero_copy_only=False)
+    size = pc.utf8_length(found).to_numpy(zero_copy_only=False)
+    stem = pc.if_else(pc.string_is_ascii(stem), pc.ascii_lower(stem), stem)
+    cut = np.where(whole.to_numpy(zero_copy_only=False), size, cut)
+    marks = pc.if_else(pa.array(size - cut == 1), pc.utf8_slice_codeunits(found, -1), "")
+    longer = np.flatnonzero(size - cut > 1)
+    if len(longer):
+        marks = pc.replace_with_mask(marks, pa.array(size - cut > 1), pa.array([found[i].as_py()[cut[i] :] for i in longer], pa.string()))
+    return pc.if_else(whole, found, stem), marks
+
+
+class WordMemory:
+    """Token ids of strings, computed once and kept for up to ``limit`` strings, in arrays that grow by doubling.
+
+    ``learn`` gets strings and returns their ids one after another and how many each has. Forgetting changes no
+    result, only the time.
     """
-    stem = word.rstrip(".,")
-    if stem and stem[-1].isalpha():
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
-    return word, ""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.learn, self.limit, self.turn = learn, limit, 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.turn += 1
+        self.known: dict[str, int] = {}
+        self.ends, self.pool = np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    @staticmethod
+    def _room(values: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(values):
+            return values
+        grown = np.zeros(max(size, 2 * len(values)), values.dtype)
+        grown[: len(values)] = values
+        return grown
+
+    def places(self, strings: list[str]) -> np.ndarray:
+        """The entry of each of these different strings."""
+        index = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero(index < 0)
+        if not len(missing):
+            return index
+        if len(self.known) + len(missing) > self.limit:
+            self._forget()
+            missing = np.arange(len(strings))
+        n, new = len(self.known), [strings[i] for i in missing.tolist()]
+        ids, size = self.learn(new)
+        # Entry i ends at ends[i + 1].
+        self.ends, end = self._room(self.ends, n + len(new) + 1), self.ends[n]
+        self.ends[n + 1 : n + len(new) + 1] = end + np.cumsum(size)
+        self.pool = self._room(self.pool, end + len(ids))
+        self.pool[end : end + len(ids)] = ids
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        index[missing] = np.arange(n, n + len(new))
+        return index
 
 
 class WordEncoder:
     """Ids by the tokenizers library of texts whose tokenizer never joins words across ASCII white space.
 
-    Every distinct word is encoded once by the library, many in a call with ``MARK`` between them; where the
-    marks cannot be told from words, one by one. A text's ids are those of its words.
+    Every distinct word is encoded once by the library; a text's ids are those of its words.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, np.int64)
-        self.memory = TokenMemory(self._learn, REMEMBERED)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _each(self, words_: list[str]) -> list[np.ndarray]:
-        """Ids of every word."""
-        out = []
-        groups = [words_[i : i + _TOGETHER] for i in range(0, len(words_), _TOGETHER)]
-        n = len(self.mark)
-        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups]), strict=True):
-            at = np.flatnonzero(ids == self.mark[0])
-            at = at[at + n <= len(ids)]
-            at = at[(ids[at[:, None] + np.arange(n)] == self.mark).all(axis=1)]
-            if len(at) == len(group) - 1:
-                begin, end = np.concatenate(([0], at + n)), np.append(at, len(ids))
-                out += [ids[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            else:
-                out += self._ids(group)
-        return out
-
-    def _learn(self, strings: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        number: dict[str, int] = {}
-        index = np.array([number.setdefault(p, len(number)) for s in strings for p in _parted(s)], np.int64)
-        own = self._each(list(number))
-        begin = np.concatenate(([0], np.cumsum(np.array([len(x) for x in own], np.int64))))
-        size = np.diff(begin)[index]
-        pool = np.concatenate([np.zeros(0, np.int64), *own])
-        return [pool[ranges(begin[:-1][index], size)]], size.reshape(-1, 2).sum(axis=1)
+        self.memory = WordMemory(self._learn, REMEMBERED)
+
+    def _learn(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(strings), _TOGETHER):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(strings[at : at + _TOGETHER], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+            out.append(np.fromiter(chain.from_iterable(own), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(out), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end_id`` after each text, and the bounds of each text."""
-        codes, bounds, vocabulary = words(texts)
-        ids, at = self.memory.tokens(codes, vocabulary.to_pylist())
-        bounds = at[bounds]
-        ids = np.insert(ids, bounds[1:], end_id)
-        return ids, bounds + np.arange(len(bounds))
+        codes, bounds, found = words(texts)
+        stems, marks = (x.dictionary_encode() for x in parted(found))
+        mark_list = marks.dictionary.to_pylist()
+        mark = self.memory.places(mark_list)
+        turn = self.memory.turn
+        stem = self.memory.places(stems.dictionary.to_pylist())
+        if turn != self.memory.turn:
+            mark = self.memory.places(mark_list)
+        # The ids of every distinct word, and of the end as one more.
+        own = np.stack((stem[stems.indices.to_numpy()], mark[marks.indices.to_numpy()]), axis=1).ravel()
+        begin, many = self.memory.ends[own], self.memory.ends[own + 1] - self.memory.ends[own]
+        pool = np.append(self.memory.pool[ranges(begin, many)], np.uint32(end_id))
+        size = np.append(many.reshape(-1, 2).sum(axis=1), 1).astype(np.int32)
+        first = (np.cumsum(size) - size).astype(np.int32)
+        # Every text's words and its end.
+        codes = np.insert(codes, bounds[1:], len(found))
+        many = size[codes]
+        ends = np.cumsum(many)
+        ids = pool[np.repeat(first[codes] - (ends - many).astype(np.int32), many) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        return ids, np.concatenate(([0], ends[bounds[1:] + np.arange(len(bounds) - 1)]))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -153,7 +197,8 @@ def write(docs: DataFrame, root: str, tokenizer_path: str, end_id: int) -> DataF
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     rows.mapInArrow(run, _OUT).write.mode("overwrite").parquet(f"{root}/written")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = spark.read.schema(_OUT).parquet(f"{root}/written")

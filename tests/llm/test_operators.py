@@ -584,9 +584,9 @@ def test_token_files_round_trip(spark, edges, corpus, nothing):
         root = shared_path(spark, "token-test")
         shards = token_files.write(docs, root, path, END_ID).orderBy("shard").collect()
         got = token_files.read(spark, root).collect()
-        rows = sorted(texts_of(docs), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1]))
+        tied = [(r[0], r[1]) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h", "text").collect()]
         want, start = [], 0
-        for i, text in rows:
+        for i, text in tied:
             ids = [*library.encode(text or "", add_special_tokens=False).ids, END_ID]
             want.append((i, start, len(ids), np.array(ids, "<u4").tobytes()))
             start += len(ids)
