@@ -215,3 +215,48 @@ def test_manifest_of_one_row_and_of_nothing(spark, nothing):
     assert row["leaf"] == row["subroot"] == row["root"] == row["folded_root"] and row["verified"]
     assert row["proof_sha256"] == hashlib.sha256(b"").hexdigest()
     assert manifest.verified(manifest.manifest(nothing)).count() == 0
+
+
+# Near copies in a crowd
+
+
+def crowd_of(copies, words, edits, seed):
+    chance = np.random.default_rng(seed)
+    base = [f"w{x}" for x in chance.integers(0, 10**6, words)]
+    out = []
+    for i in range(copies):
+        own = list(base)
+        for at in chance.choice(words, edits, replace=False):
+            own[at] = f"e{chance.integers(0, 10**6)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def exact_survivors(rows):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    names = {s: n for n, s in enumerate(set().union(*sets))}
+    cells = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        cells[i, [names[x] for x in s]] = 1
+    both, size = cells @ cells.T, cells.sum(axis=1)
+    link = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    left, kept = set(range(len(rows))), set()
+    while left:
+        first = min(left)
+        reached, new = {first}, [first]
+        while new:
+            new = [int(j) for i in new for j in np.flatnonzero(link[i]) if j not in reached and not reached.add(int(j))]
+        kept.add(rows[first][0])
+        left -= reached
+    return kept, int((link.sum() - len(rows)) // 2)
+
+
+@pytest.mark.parametrize(("words", "edits"), [(200, 3), (60, 1)])
+def test_links_in_a_crowd_of_near_copies_are_whole(spark, words, edits):
+    from marginalia.llm import near_copies
+
+    rows = crowd_of(600 if words == 200 else 150, words, edits, 1)
+    want, links = exact_survivors(rows)
+    assert links > 1000 and len(want) < 100
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in near_copies.kept(docs).collect()} == want
