@@ -10,8 +10,12 @@ A batch of documents asks the filters first; only keys that a filter may hold ar
 references. Deleting a document appends its references with -1 and takes keys that nobody holds any
 longer out of their filter, so a later decision is what it would have been without that document.
 
-Hot keys are counted by aggregates that combine in the map tasks, and joined through sort-merge joins
-that adaptive execution splits; no task ever holds all documents of a key.
+``deduplicated`` inserts documents in ``BATCHES`` batches of ascending ids. The smallest id of a key is then always in
+the store when a later document asks, so a batch is decided by itself and what the filters and references say.
+
+Hot keys are counted by aggregates that combine in the map tasks. The keys that are held most (at most ``HOT_KEYS``, since
+each is held by more than that share of all references) reach their documents by broadcast, the others by a shuffle;
+no task ever holds all documents of a hot key.
 
 Defined cases: a null or empty text is one empty line; documents with a null id keep every line and count
 for nobody; rows that repeat an id are one document as holders, and each row gets that id's decision;
@@ -30,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.arrow import WHITE, shared_path, slices
+from marginalia.llm.arrow import WHITE, shared_path, slices, stored
 from marginalia.llm.cuckoo import CuckooFilter, filled
 
 MIN_CHARS = 10
 #: Documents per shard that a store is made for; shards are fixed when the store is made.
 SHARD_DOCUMENTS = 16_384
+BATCHES = 3
+HOT_KEYS = 50_000
 
 REFERENCE = "shard int, hi long, lo long, doc_id long, held int"
 FILTER = "shard int, cells binary"
@@ -168,9 +174,15 @@ class LineStore:
 
     def dropped(self, docs: DataFrame, totals: DataFrame) -> DataFrame:
         """Per document id the keys whose lines go: another document before it holds them."""
-        shared = totals.filter("n_docs > 1").drop("n_docs")
+        shared = stored(totals.filter("n_docs > 1"), "shared-lines")
+        held = shared.agg(F.sum("n_docs")).first()[0] or 0
+        # Keys held more often than this are at most HOT_KEYS.
+        often = F.col("n_docs") > held // HOT_KEYS + 1
+        hot, other = shared.filter(often).drop("n_docs"), shared.filter(~often).drop("n_docs")
         rows = docs if {"hi", "lo"} <= set(docs.columns) else references(docs).select(self._shard(), "hi", "lo", "doc_id")
-        rows = rows.join(shared, KEY).filter("doc_id > first_doc")
+        rows = rows.select(*KEY, "doc_id").join(F.broadcast(hot), KEY, "left")
+        found = rows.filter("first_doc is not null")
+        rows = found.unionByName(rows.filter("first_doc is null").drop("first_doc").join(other, KEY)).filter("doc_id > first_doc")
         return rows.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
 
     def batch(self, version: int | None = None) -> DataFrame:
@@ -241,16 +253,32 @@ def rewritten(docs: DataFrame, dropped: DataFrame, keep: tuple[str, ...] = ()) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", *keep)])
     others = "".join(f"{c} string, " for c in keep)
     schema = f"doc_id long, {others}kept string, n_lines long, n_dropped long"
-    return rows.join(dropped, "doc_id", "left").mapInArrow(_rewrite, schema)
+    # Rows without id lose nothing and need not meet in one task.
+    without = rows.filter("doc_id is null").withColumn("gone", F.lit(None).cast(dropped.schema["gone"].dataType))
+    return rows.filter("doc_id is not null").join(dropped, "doc_id", "left").unionByName(without).mapInArrow(_rewrite, schema)
+
 
+def deduplicated(docs: DataFrame, store: LineStore | None = None, keep: tuple[str, ...] = (), batches: int = BATCHES) -> DataFrame:
+    """Insert documents into a store (a new one by default) and return what stays of their lines.
 
-def deduplicated(docs: DataFrame, store: LineStore | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Insert documents into a store (a new one by default) and return what stays of their lines."""
+    A store that holds documents already takes them as one batch.
+    """
     spark = docs.sparkSession
-    if store is None:
-        store = LineStore.create(spark, shared_path(spark, "lines"), docs.count())
-    totals = store.insert(docs)
-    return rewritten(docs, store.dropped(store.batch(), totals), keep)
+    if store is not None and store.version:
+        totals = store.insert(docs)
+        return rewritten(docs, store.dropped(store.batch(), totals), keep)
+    store = store or LineStore.create(spark, shared_path(spark, "lines"), docs.count())
+    ids = F.col("doc_id").cast("long")
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.select(ids.cast("double").alias("id")).approxQuantile("id", shares, 0.01))) if shares else []
+    gone = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = F.lit(True) if low is None else ids > int(low)
+        inside = inside if high is None else inside & (ids <= int(high))
+        totals = store.insert(docs.filter(inside))
+        own = store.dropped(store.batch(), totals)
+        gone = own if gone is None else gone.unionByName(own)
+    return rewritten(docs, gone, keep)
 
 
 def digest(rows: DataFrame) -> DataFrame:
