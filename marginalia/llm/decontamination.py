@@ -5,7 +5,9 @@ documents finds the benchmark's n-grams (``GRAM`` words) and keeps *passages*: s
 which they lie within ``GAP`` words, with as many words around them as the longest item has. The corpus
 frequency of every benchmark n-gram is counted over all documents. Every n-gram of an item is a seed, so
 edits and exact copies elsewhere hide none. A passage and an item meet if they share ``SEEDS`` of them, or a
-single rare one, which at most ``RARE`` documents hold (an item of less than ``SEEDS`` n-grams: any). They are
+single rare one: one of the rarest ``single`` share of those of the item's n-grams that the corpus holds (ties included).
+That is rarity among the item's own n-grams, so it does not change with the size of the corpus; with a share of 1 every
+n-gram joins alone. They are
 aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1) if enough of the item's words occur in
 the passage at all to reach the threshold, which rules out no pair that would.
 The score is the alignment's share of the item's best (2 per word); from ``THRESHOLD`` on it counts.
@@ -38,7 +40,7 @@ from marginalia.llm.arrow import slices, stored, words
 GRAM = 3
 GAP = 40
 SEEDS = 2
-RARE = 1000
+SINGLE = 0.75
 THRESHOLD = 0.5
 MATCH, MISMATCH, SPACE = 2, -1, -1
 PART_WORDS = 1_000_000
@@ -179,7 +181,14 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return (score / (MATCH * len(item)) if item else 0.0), stop - begin if back else 0, stop
 
 
-def _judged(items: list[tuple[int, list[str]]], rare: set[int], threshold: float):
+def rare_grams(own: list[int], counts: dict[int, int], single: float) -> set[int]:
+    """The rarest ``single`` share of an item's n-grams that some document holds, and those as rare as its last."""
+    held = sorted((counts[g], g) for g in set(own) if g in counts)
+    last = held[min(len(held), int(np.ceil(single * len(held)))) - 1][0] if held and single > 0 else -1
+    return {g for n, g in held if n <= last}
+
+
+def _judged(items: list[tuple[int, list[str]]], counts: dict[int, int], threshold: float, single: float):
     """Joins passages to the items they share seeds with, by a hash table of the part's seeds, and aligns them."""
     seeds = [sorted(set(item_grams(own))) for _, own in items]
     holders: dict[int, list[int]] = {}
@@ -187,6 +196,7 @@ def _judged(items: list[tuple[int, list[str]]], rare: set[int], threshold: float
         for gram in own:
             holders.setdefault(gram, []).append(i)
     least = [min(SEEDS, len(own)) for own in seeds]
+    rare = [rare_grams(own, counts, single) for own in seeds]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -196,7 +206,7 @@ def _judged(items: list[tuple[int, list[str]]], rare: set[int], threshold: float
                 shared: Counter[int] = Counter()
                 for gram in row.grams:
                     for i in holders.get(gram, ()):
-                        shared[i] += SEEDS if gram in rare else 1
+                        shared[i] += SEEDS if gram in rare[i] else 1
                 passage = list(row.words)
                 held = set(passage)
                 for i, n in shared.items():
@@ -209,20 +219,20 @@ def _judged(items: list[tuple[int, list[str]]], rare: set[int], threshold: float
     return run
 
 
-def _part(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
+def _part(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float, single: float) -> DataFrame:
     finder = _Finder([own for _, own in items])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     passages = stored(rows.mapInArrow(_passages(finder), _PASSAGE), "passages")
     counts = passages.select(F.explode("own").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rare = {r["gram"] for r in counts.filter(F.col("n") <= RARE).collect()}  # at most the n-grams of the part
+    found = {r["gram"]: r["n"] for r in counts.collect()}  # at most the n-grams of the part
     passages = passages.select("doc_id", "first", "words", "grams")
-    scored = passages.mapInPandas(_judged(items, rare, threshold), "doc_id long, item_id long, score double, first_word long, last_word long")
+    scored = passages.mapInPandas(_judged(items, found, threshold, single), "doc_id long, item_id long, score double, first_word long, last_word long")
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     best = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, single: float = SINGLE) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of every document and test item it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter("text is not null")
@@ -234,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         own = [(r["item_id"], bare_words(r["text"])) for r in items.filter(F.col("part") == part).collect()]
         own = sorted((x for x in own if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if own:
-            made = _part(docs, own, threshold)
+            made = _part(docs, own, threshold, single)
             found = made if found is None else found.unionByName(made)
     if found is None:
         schema = "doc_id long, item_id long, score double, first_word long, last_word long"

@@ -324,6 +324,18 @@ def test_lines_can_be_taken_back(spark, corpus):
     assert sizes == {r["shard"]: r["count"] for r in store.counts().groupBy("shard").count().collect()}
 
 
+def test_later_batches_ask_the_filters(spark, corpus, monkeypatch):
+    asked = []
+    probe = line_dedup.LineStore.probe
+    monkeypatch.setattr(line_dedup.LineStore, "probe", lambda self, keys: asked.append(self.version) or probe(self, keys))
+    for batches, versions in ((1, []), (4, [1, 2, 3])):
+        asked.clear()
+        found = line_dedup.digest(line_dedup.deduplicated(corpus, batches=batches))
+        assert sorted(map(tuple, found.collect())) == brute_lines(texts_of(corpus)) and asked == versions
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 3)
+    assert sorted(map(tuple, line_dedup.digest(line_dedup.deduplicated(corpus)).collect())) == brute_lines(texts_of(corpus))
+
+
 def test_cuckoo_filter():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     made = filled(keys[:10_000])
@@ -491,6 +503,20 @@ def test_edited_items_against_brute_force(spark, every, copies):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == want
 
 
+def test_single_seeds_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch):
+    """A copy held together by one n-gram is found however many documents hold that n-gram."""
+    item = [f"w{i}" for i in range(7)]
+    copy = "w0 x1 w2 w3 w4 x5 w6"
+    assert decontamination.align(item, copy.split())[0] >= decontamination.THRESHOLD
+    assert len(set(decontamination.item_grams(item)) & set(decontamination.item_grams(copy.split()))) == 1
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for many in (1, 1500):
+        rows = [(0, copy), *((i, f"zuk w2 w3 w4 vopel") for i in range(1, many))]
+        found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert [(r["doc_id"], r["item_id"]) for r in found] == [(0, 7)]
+    assert decontamination.rare_grams([1, 2, 3, 4], {1: 5, 2: 9, 3: 9}, 0.5) == {1, 2, 3}
+
+
 def test_alignment_against_the_full_matrix():
     chance = np.random.default_rng(2)
     for _ in range(60):
