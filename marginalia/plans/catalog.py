@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from marginalia import schemas
 from marginalia.functions import boxes, labels
 from marginalia.functions import text as tx
-from marginalia.operators import changes, chunking, embedding, jobs, keyword, library, ocr, pages, providers, summarize
+from marginalia.operators import changes, chunking, embedding, jobs, keyword, library, ocr, pages, postings, providers, summarize
 from marginalia.operators import grounding as gr
 from marginalia.operators.vector import vector_search, vector_search_batch
 from marginalia.plans import derive
 from marginalia.plans.ask import ask
 from marginalia.plans.ingest import full_text, ingest, parse_files, parsed_pages
-from marginalia.plans.search import dedupe_hits, first_per_document, keyword_retrieve, retrieve, search
+from marginalia.plans.search import collect_chunks, dedupe_hits, first_per_document, keyword_retrieve, retrieve, search
 from marginalia.session import shared_dir, spread
 from marginalia.sources import formats as fm
 from marginalia.sources import parsers, tables
@@ -293,6 +293,64 @@ def stored_answers(spark, sf_dir):
     return _answers(ask(retrieve(_stored_evidence(spark, sf_dir), derive.questions(spark, sf_dir))))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[str, postings.Index]:
+    """The corpus ingested and indexed, as search on a store finds it."""
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    stream.store_batch(root)(derive.parsed_documents(spark, sf_dir), 0)
+    postings.write_index(stream.current_evidence(spark, root), root, 0)
+    return root, postings.read_index(spark, root, stream.DOCUMENT_COLUMNS)
+
+
+@query
+def indexed_keyword_search(spark, sf_dir):
+    """``keyword_search`` over a stored index: no text is read but that of the hits."""
+    root, index = _index(spark, sf_dir)
+    asked = derive.single_question(spark, sf_dir, SEARCH_QUERY)
+    hits = postings.index_search(index, asked).withColumn("similarity", F.lit(None).cast("double"))
+    scores = hits.select("id", "match_score")
+    found = search(collect_chunks(stream.current_evidence(spark, root), asked, hits))
+    return found.join(scores, "id").select("rank", "id", "document_id", "match_score", "score", "snippet")
+
+
+@query
+def indexed_keyword_search_batch(spark, sf_dir):
+    """``keyword_search_batch`` over a stored index, with upper bounds."""
+    root, index = _index(spark, sf_dir)
+    hits, _ = postings.pruned_search(index, derive.questions(spark, sf_dir), f"{root}/search")
+    return hits.select("query_id", "rank", "id", "match_score")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> str:
+    """A store after four batches: all documents, a third edited, a seventh deleted, a fifth edited again or restored.
+
+    Compacted after the third.
+    """
+    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    write = stream.store_batch(root, embedder=derive.letter_model)
+    number = F.col("doc_id")
+    write(derive.parsed_documents(spark, sf_dir), 0)
+    write(derive.edited_documents(spark, sf_dir, number % 3 == 0, "aeiou"), 1)
+    gone = derive.documents(spark, sf_dir).filter(number % 7 == 0).select(derive.document_id().alias("document_id"))
+    stream.delete_documents(gone, root, 2)
+    stream.compact(spark, root)
+    write(derive.edited_documents(spark, sf_dir, number % 5 == 0, "t"), 3)
+    return root
+
+
+@query
+def versioned_evidence(spark, sf_dir):
+    """Evidence of a store whose documents were ingested again, deleted, compacted and restored."""
+    rows = stream.current_evidence(spark, _edited(spark, sf_dir))
+    return rows.select("id", "document_id", "document_name", "line_end", "seq", F.md5("snippet").alias("snippet_md5"))
+
+
+@query
+def versioned_vectors(spark, sf_dir):
+    """The vectors of the same store, in step with its evidence."""
+    parts = [F.get("embedding", F.lit(i)).cast("int").alias(name) for i, name in enumerate(("chars", "blanks", "es"))]
+    return stream.current_vectors(spark, _edited(spark, sf_dir)).select("id", "document_id", *parts)
+
+
 @query
 def incremental_ingest(spark, sf_dir):
     """The corpus ingested by the stream into batch tables, then read back as current evidence."""
@@ -489,9 +547,10 @@ def ask_prompts(spark, sf_dir):
 
 @query
 def extractive_answers(spark, sf_dir):
+    """The answer of every passage to one question, read from the prompt."""
     prompt = gr.ask_prompt(F.lit("What does it say?"), F.col("chunks"))
     return _single_chunk(spark, sf_dir).withColumn("prompt", prompt).select(
-        "id", gr.extractive_answer(F.col("prompt")).alias("answer")
+        "id", gr.answer_prompt(F.col("prompt")).alias("answer")
     )
 
 
@@ -500,7 +559,7 @@ def gate_outcomes(spark, sf_dir):
     """Synthetic answers to every evidence row: valid, unknown id, no marker, declined, sparse."""
     kind = F.floor(F.col("seq") / chunking.SEQ_STRIDE) % 5
     marker = F.concat(F.lit(" [chunk:"), F.col("id"), F.lit("]."))
-    opening = F.regexp_replace(F.substring("snippet", 1, 60), r"[.!?\s]+", " ")
+    opening = F.regexp_replace("snippet", r"[.!?\s]+", " ")
     raw = (
         F.when(kind == 0, F.concat(opening, marker))
         .when(kind == 1, F.concat(opening, F.lit(" [chunk:ev_missing].")))
@@ -724,7 +783,7 @@ def hydrated_citations(spark, sf_dir):
     cited = evidence.select(
         F.when(n % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("_gone"))).alias("evidence_unit_id"),
         n.cast("int").alias("ordinal"),
-        F.substring("snippet", 1, 40).alias("snippet"),
+        F.concat(F.lit("Cited: "), "snippet").alias("snippet"),
     )
     rows = library.hydrate_citations(cited, evidence)
     return rows.select(

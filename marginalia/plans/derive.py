@@ -51,6 +51,11 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(documents(spark, sf_dir), F.col("text"))
 
 
+def edited_documents(spark: SparkSession, sf_dir: str, which: Column, letters: str) -> DataFrame:
+    """Some of ``parsed_documents`` with these lower-case letters made capital."""
+    return _parsed(documents(spark, sf_dir).filter(which), F.translate("text", letters, letters.upper()))
+
+
 def parsed_stream(rows: DataFrame) -> DataFrame:
     """``parsed_documents`` for a stream of corpus rows."""
     return _parsed(rows, F.col("text"))
@@ -219,6 +224,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def single_question(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """One request in the place of the user turns."""
+    return questions(spark, sf_dir).agg(F.min("query_id").alias("query_id")).select("query_id", F.lit(query).alias("query"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     return rows.select(

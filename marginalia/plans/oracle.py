@@ -43,6 +43,14 @@ ev AS (
 """
 
 
+# The newest version of every document after edits, deletions and restorations.
+VERSIONS = """versions AS (
+  SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN translate(text, 't', 'T')
+    WHEN doc_id % 3 = 0 THEN translate(text, 'aeiou', 'AEIOU') ELSE text END AS text
+  FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 <> 0
+), """ + EVIDENCE.replace("FROM documents ", "FROM versions ")
+
+
 def _chunk_cte(pages: str, name: str = "chunks") -> str:
     """Greedy chunks of ``pages`` (doc_id, page, ls: one paragraph per line, at odd line numbers)."""
     return f"""
@@ -162,18 +170,38 @@ def _strip(text: str) -> str:
     return f"trim(regexp_replace({single}, '\\s+([.,;:!?])', '\\1', 'g'), ' ' || chr(10))"
 
 
-PART = "regexp_replace(trim(snippet), '[.!?]+$', '') || ' [chunk:' || id || '].'"
+def _composed(source: str) -> str:
+    """Answers of ``source`` (key, terms, passages: id and snippet): two sentences a passage, by terms not held before."""
+    ctes = [f"""
+c0 AS (
+  SELECT key, CAST([] AS VARCHAR[]) AS covered, CAST([] AS VARCHAR[]) AS parts, list_transform(passages, lambda p: {{'id': p.id,
+    'ss': list_transform({_sentences('p.snippet')}, lambda s: {{'t': s, 'held': list_filter(terms, lambda w: contains(lower(s), w))}})}}) AS ps
+  FROM {source}
+)"""]
+    for k in range(6):
+        at = f"ps[{k // 2 + 1}]"
+        ctes.append(f"""
+x{k} AS (SELECT *, list_transform({at}.ss, lambda s: len(list_filter(s.held, lambda w: NOT list_contains(covered, w)))) AS fresh FROM c{k}),
+y{k} AS (SELECT *, list_position(fresh, list_max(fresh)) AS best, coalesce(len(fresh) > 0 AND ({k % 2 == 0} OR list_max(fresh) > 0), FALSE) AS taken FROM x{k}),
+c{k + 1} AS (
+  SELECT key, ps, CASE WHEN taken THEN list_concat(covered, {at}.ss[best].held) ELSE covered END AS covered,
+    CASE WHEN taken THEN list_append(parts, regexp_replace(trim({at}.ss[best].t), '[.!?]+$', '') || ' [chunk:' || {at}.id || '].') ELSE parts END AS parts
+  FROM y{k}
+)""")
+    return ",".join(ctes) + ", composed AS (SELECT key, trim('Based on the retrieved evidence, ' || array_to_string(parts, ' ')) AS raw FROM c6)"
+
 
 RESPONSES = f"""WITH {EVIDENCE}, {QUESTIONS}, {_batch_hits()}, {RETRIEVED},
 packed AS (
-  SELECT query_id, count(*) AS n, list(id ORDER BY rank)[1:3] AS ids,
-         'Based on the retrieved evidence, ' || array_to_string(list({PART} ORDER BY rank)[1:3], ' ') AS raw
+  SELECT query_id, count(*) AS n, list(id ORDER BY rank)[1:3] AS ids, list({{'id': id, 'snippet': snippet}} ORDER BY rank)[1:3] AS passages
   FROM retrieved GROUP BY query_id
 ),
+passed AS (SELECT query_id AS key, terms, passages FROM packed JOIN asked USING (query_id)),
+{_composed('passed')},
 judged AS (
-  SELECT q.query_id, coalesce(p.n, 0) AS n, p.ids, p.raw,
-         coalesce(len({_uncited('p.raw')}) / greatest(1, len({_factual('p.raw')})) <= 0.6, FALSE) AS grounded
-  FROM asked q LEFT JOIN packed p USING (query_id)
+  SELECT q.query_id, coalesce(p.n, 0) AS n, p.ids, c.raw,
+         coalesce(len({_uncited('c.raw')}) / greatest(1, len({_factual('c.raw')})) <= 0.6, FALSE) AS grounded
+  FROM asked q LEFT JOIN packed p USING (query_id) LEFT JOIN composed c ON c.key = q.query_id
 ),
 responses AS (
   SELECT query_id, grounded, n, ids, CASE WHEN grounded THEN {_strip('raw')} END AS answer FROM judged
@@ -436,6 +464,13 @@ FROM documents d LEFT JOIN p USING (doc_id) LEFT JOIN chosen c USING (doc_id)"""
     "evidence_vectors": f"""WITH {EVIDENCE} SELECT id, document_id, CAST(length(snippet) AS INTEGER) AS chars,
   CAST(length(snippet) - length(replace(snippet, ' ', '')) AS INTEGER) AS blanks, CAST(length(snippet) - length(replace(snippet, 'e', '')) AS INTEGER) AS es FROM ev""",
     "stored_keyword_search": _keyword(),
+    "indexed_keyword_search": _keyword(),
+    "indexed_keyword_search_batch": f"WITH {EVIDENCE}, {QUESTIONS}, {_batch_hits()} SELECT query_id, rank, id, match_score FROM hits",
+    "versioned_evidence": f"""WITH {VERSIONS}
+SELECT id, document_id, document_name, line_end, seq, md5(snippet) AS snippet_md5 FROM ev""",
+    "versioned_vectors": f"""WITH {VERSIONS}
+SELECT id, document_id, CAST(length(snippet) AS INTEGER) AS chars, CAST(length(regexp_replace(snippet, '[^ ]', '', 'g')) AS INTEGER) AS blanks,
+  CAST(length(regexp_replace(snippet, '[^e]', '', 'g')) AS INTEGER) AS es FROM ev""",
     "stored_answers": ANSWERS,
     "incremental_ingest": f"""WITH {EVIDENCE} SELECT id, document_id, document_name, line_end, seq, md5(snippet) AS snippet_md5 FROM ev""",
     "sentence_stats": f"""SELECT doc_id, CAST(len({_sentences('text')}) AS INTEGER) AS sentences,
@@ -488,16 +523,18 @@ fallback AS (
 either AS (SELECT * FROM placed UNION ALL SELECT * FROM fallback),
 once AS (SELECT * FROM either WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY r) = 1)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank, id, round(score, 6) AS score FROM once""",
-    "ask_prompts": f"""WITH {EVIDENCE}, p AS (SELECT id, 'You are a careful research assistant. Answer ONLY from the provided context.' || chr(10)
-  || 'Cite every factual claim with [chunk:<id>] using only IDs present in the context.' || chr(10)
-  || 'If the context is insufficient, reply with exactly INSUFFICIENT_EVIDENCE.' || chr(10) || chr(10) || 'Question: What does it say?' || chr(10) || chr(10)
+    "ask_prompts": f"""WITH {EVIDENCE}, p AS (SELECT id, 'You are a careful research assistant. Everything you state must be found in the passages below.' || chr(10)
+  || 'Put the marker [chunk:<id>] of its passage behind every statement; use no other ids.' || chr(10)
+  || 'Should the passages not answer the question, write INSUFFICIENT_EVIDENCE and nothing else.' || chr(10) || chr(10) || 'Question: What does it say?' || chr(10) || chr(10)
   || 'Context:' || chr(10) || '[[chunk:' || id || ']]' || chr(10) || snippet || chr(10) || '[[/chunk]]' || chr(10) || chr(10) || 'Answer:' AS prompt FROM ev)
 SELECT id, CAST(length(prompt) AS INTEGER) AS chars, md5(prompt) AS prompt_md5 FROM p""",
-    "extractive_answers": f"WITH {EVIDENCE} SELECT id, 'Based on the retrieved evidence, ' || {PART} AS answer FROM ev",
+    "extractive_answers": f"""WITH {EVIDENCE},
+one AS (SELECT id AS key, ['what', 'does', 'say?'] AS terms, [{{'id': id, 'snippet': snippet}}] AS passages FROM ev), {_composed('one')}
+SELECT key AS id, raw AS answer FROM composed""",
     "gate_outcomes": f"""WITH {EVIDENCE},
 raws AS (SELECT id, doc_id % 5 AS kind, CASE doc_id % 5
-  WHEN 0 THEN regexp_replace(substr(snippet, 1, 60), '[.!?\\s]+', ' ', 'g') || ' [chunk:' || id || '].'
-  WHEN 1 THEN regexp_replace(substr(snippet, 1, 60), '[.!?\\s]+', ' ', 'g') || ' [chunk:ev_missing].'
+  WHEN 0 THEN regexp_replace(snippet, '[.!?\\s]+', ' ', 'g') || ' [chunk:' || id || '].'
+  WHEN 1 THEN regexp_replace(snippet, '[.!?\\s]+', ' ', 'g') || ' [chunk:ev_missing].'
   WHEN 2 THEN snippet WHEN 3 THEN 'INSUFFICIENT_EVIDENCE: nothing found'
   ELSE snippet || ' [chunk:' || id || '].' END AS raw FROM ev),
 d AS (SELECT *, len({_factual('raw')}) AS f, len({_uncited('raw')}) AS u FROM raws),
@@ -560,7 +597,7 @@ SELECT {EV_ID} || CASE WHEN ordinal % 2 = 1 THEN '_gone' ELSE '' END AS evidence
   CASE WHEN ordinal % 2 = 0 THEN source ELSE 'Retrieved evidence' END AS document_name,
   CASE WHEN ordinal % 2 = 0 THEN 'Imported content' ELSE 'Citation ' || ordinal END AS section, CAST(1 AS INTEGER) AS page,
   CASE WHEN ordinal % 2 = 0 THEN line_start || '-' || line_end ELSE '1-1' END AS lines, 'Medium' AS relevance,
-  md5(CASE WHEN ordinal % 2 = 0 THEN snippet ELSE substr(snippet, 1, 40) END) AS snippet_md5
+  md5(CASE WHEN ordinal % 2 = 0 THEN snippet ELSE 'Cited: ' || snippet END) AS snippet_md5
 FROM chunks JOIN lib USING (doc_id)""",
     "latest_jobs": f"WITH {JOBS} SELECT document_id, id, status, stage, progress_pct FROM latest",
     "documents_with_progress": f"""WITH {LIBRARY}, {JOBS} SELECT l.id, l.status, CASE WHEN l.status = 'processing' THEN j.stage END AS stage,
