@@ -59,10 +59,15 @@ def test_vector_scope_and_columns_reach_the_scan(spark, stored, tmp_path):
 
 def test_batch_search_never_pairs_queries_with_rows(spark, sf_dir, stored):
     queries = derive.questions(spark, sf_dir)
-    text = plan(ask(retrieve(stored, queries)))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
+    text = plan(keyword.keyword_search_batch(stored, queries))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text and text.count("MapInArrow") == 1
     # Tasks trim their hits before the only shuffle of them.
-    assert text.count("MapInArrow") == 1 and "WindowGroupLimit" in text
+    assert "WindowGroupLimit" in text
+
+
+def test_hits_are_found_once_and_pick_the_evidence(spark, sf_dir, stored):
+    text = plan(retrieve(stored, derive.questions(spark, sf_dir)))
+    assert "LeftSemi" in text and "MapInArrow" not in text and "CartesianProduct" not in text
 
 
 def test_dedupe_trims_hot_keys_before_the_shuffle(stored):
@@ -102,16 +107,3 @@ def test_oversized_files_are_never_opened(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     accepted, _ = fm.admit(read_files(spark, str(tmp_path)))
     assert "LessThanOrEqual(length,52428800)" in plan(accepted)
-
-
-def test_hits_are_broadcast_only_within_the_bound(spark, sf_dir, stored):
-    from marginalia.config import Settings
-
-    queries = derive.questions(spark, sf_dir)
-    assert "BroadcastHashJoin" in plan(retrieve(stored, queries))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        assert "BroadcastHashJoin" in plan(retrieve(stored, queries))
-        assert "BroadcastHashJoin" not in plan(retrieve(stored, queries, settings=Settings(queries_per_scan=20)))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
