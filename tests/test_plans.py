@@ -7,7 +7,6 @@ from marginalia.operators import keyword, library, summarize, topk
 from marginalia.operators.chunking import evidence_rows
 from marginalia.operators.vector import vector_search
 from marginalia.plans import derive
-from marginalia.plans.ask import ask
 from marginalia.plans.search import keyword_retrieve, retrieve
 from marginalia.sources import formats as fm
 
