@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marginalia import schemas
 from marginalia.functions import boxes, labels
 from marginalia.functions import text as tx
-from marginalia.operators import changes, chunking, embedding, jobs, keyword, library, ocr, pages, postings, providers, summarize
+from marginalia.operators import cells, changes, chunking, embedding, jobs, keyword, library, ocr, pages, postings, providers, summarize
 from marginalia.operators import grounding as gr
 from marginalia.operators.vector import vector_search, vector_search_batch
 from marginalia.plans import derive
@@ -434,6 +434,16 @@ def vector_topk_batch(spark, sf_dir):
     return hits.select("query_id", "rank", "id", _r6(F.col("score")).alias("score"))
 
 
+@query
+def vector_cells_batch(spark, sf_dir):
+    """The same hits from a stored cell index, which scores only the blocks that can hold one."""
+    vectors = derive.vectors(spark, sf_dir)
+    root = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build_cells(vectors, root)
+    hits = cells.cell_search_batch(spark, root, _question_vectors(derive.questions(spark, sf_dir), vectors))
+    return hits.select("query_id", "rank", "id", _r6(F.col("score")).alias("score"))
+
+
 # --- search ------------------------------------------------------------------------------------
 
 
