@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -387,6 +388,36 @@ def test_repeated_article_is_no_template(spark):
     }
 
 
+def test_names_inside_articles(spark):
+    names = ["discussion", "alert", "search-result", "social-history", "related-work", "widget"]
+    parts = ["comments", "comment-list", "ad", "ad-slot", "share-buttons", "x newsletter-box", "cookie-notice"]
+    html = "<article>" + "".join(f'<div class="{n}">{n}</div>' for n in names + parts) + "<p>Let <math><mi>x</mi></math> be</article>"
+    html += '<div class="related-work">outside</div>'
+    pages = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert html_templates.main_text(pages).first()["text"] == " ".join([*names, "Let x be"])
+
+
+@pytest.mark.parametrize("size", [5, 400])
+def test_a_box_on_five_articles_goes_at_every_size_of_the_host(spark, size):
+    box, nested = "<div>Read <b>more</b> here</div>", "<section><div>inner</div><p>own {n}</p></section>"
+    rows = [(n, "http://h/", f"<article><p>a{n}{box if n < 5 else ''}{nested.format(n=n)}z</article>") for n in range(size)]
+    rows += [(1000 + n, "http://i/", f"<article><p>b{n}{box if n < 4 else ''}</article>") for n in range(9)]
+    rows += [(2000 + n, "http://j/", f"<body><ul><li>Home</ul><p>c{n}") for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {
+        **{n: f"a{n} own {n} z" for n in range(size)},
+        **{1000 + n: f"b{n} Read more here" if n < 4 else f"b{n}" for n in range(9)},
+        **{2000 + n: f"c{n}" for n in range(6)},
+    }
+
+
+def test_unclosed_tags_take_linear_time():
+    start = time.perf_counter()
+    html_templates.parse("<b>x</i>" * 40_000)
+    html_templates.parse("<article>" + "<span><div>x</p></em>" * 20_000)
+    assert time.perf_counter() - start < 5
+
+
 # SimHash
 
 
