@@ -17,40 +17,39 @@ from marginalia.functions.text import let
 
 
 def paragraphs(text: Column) -> Column:
-    """Array of (start_line, end_line, text, words); blank lines separate paragraphs.
+    """Array of (start_line, end_line, text, words); blank lines separate paragraphs."""
+    return let(tx.lines(text), line_runs)
+
+
+def line_runs(rows: Column) -> Column:
+    """``paragraphs`` of an array of stripped lines.
 
     A paragraph is the run between two neighbouring blank positions, where position 0 and the
     position after the last line count as blank. That keeps the work linear in the text.
     """
+    last = F.size(rows) + 1
+    blank_at = F.filter(
+        F.sequence(F.lit(0), last),
+        lambda i: (i == 0) | (i == last) | (F.get(rows, i - 1) == ""),
+    )
 
-    def from_lines(rows: Column) -> Column:
-        last = F.size(rows) + 1
-        blank_at = F.filter(
-            F.sequence(F.lit(0), last),
-            lambda i: (i == 0) | (i == last) | (F.get(rows, i - 1) == ""),
-        )
-
-        def between(gaps: Column) -> Column:
-            edges = F.arrays_zip(
-                gaps.alias("before"), F.slice(gaps, F.lit(2), F.size(gaps) - 1).alias("after")
-            )
-            runs = F.filter(edges, lambda e: e["after"] - e["before"] > 1)
-            return F.transform(
-                runs,
-                lambda e: let(
-                    F.array_join(F.slice(rows, e["before"] + 1, e["after"] - e["before"] - 1), " "),
-                    lambda body: F.struct(
-                        (e["before"] + 1).alias("start_line"),
-                        (e["after"] - 1).alias("end_line"),
-                        body.alias("text"),
-                        tx.word_count(body).alias("words"),
-                    ),
+    def between(gaps: Column) -> Column:
+        edges = F.arrays_zip(gaps.alias("before"), F.slice(gaps, F.lit(2), F.size(gaps) - 1).alias("after"))
+        runs = F.filter(edges, lambda e: e["after"] - e["before"] > 1)
+        return F.transform(
+            runs,
+            lambda e: let(
+                F.array_join(F.slice(rows, e["before"] + 1, e["after"] - e["before"] - 1), " "),
+                lambda body: F.struct(
+                    (e["before"] + 1).alias("start_line"),
+                    (e["after"] - 1).alias("end_line"),
+                    body.alias("text"),
+                    tx.word_count(body).alias("words"),
                 ),
-            )
-
-        return let(blank_at, between)
+            ),
+        )
 
-    return let(tx.lines(text), from_lines)
+    return let(blank_at, between)
 
 
 def chunk_bounds(counts: Column, budget: int, overlap: int) -> Column:

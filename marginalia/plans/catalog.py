@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marginalia import schemas
 from marginalia.functions import boxes, labels
 from marginalia.functions import text as tx
-from marginalia.operators import cells, changes, chunking, embedding, jobs, keyword, library, ocr, pages, postings, providers, summarize
+from marginalia.operators import cells, changes, chunking, embedding, jobs, keyword, library, ocr, pages, postings, providers, segments, summarize
 from marginalia.operators import grounding as gr
 from marginalia.operators.vector import vector_search, vector_search_batch
 from marginalia.plans import derive
@@ -165,6 +165,15 @@ def budget_chunks(spark, sf_dir):
     )
 
 
+@query
+def segmented_chunks(spark, sf_dir):
+    """The chunks of ``budget_chunks`` by the segmented fold; segments are short, so that texts cross several."""
+    files = derive.parsed_paragraphs(spark, sf_dir)
+    texts = files.select("document_id", F.explode("parsed.pages").alias("p")).select("document_id", F.col("p.page_number").alias("page"), "p.text")
+    rows = segments.chunks(segments.line_blocks(texts, 64), group=1)
+    return rows.select("document_id", "ordinal", "line_start", "line_end", F.md5("text").alias("snippet_md5"))
+
+
 @query
 def paged_chunks(spark, sf_dir):
     """Chunks of multi-page documents: ordinals run across pages, recognised pages keep their confidence."""

@@ -371,7 +371,7 @@ OFFICE_TEXT = """CASE k WHEN 0 THEN array_to_string(ls, chr(10))
     ELSE 'Slide ' || page || chr(10) || array_to_string(ls, chr(10)) END"""
 OFFICE_KEPT = "k <> 0 OR length(regexp_replace(array_to_string(ls, ''), '[^A-Za-z0-9]', '', 'g')) >= 20"
 
-SUMMARY_PROMPT = """'Summarize the following document in two or three sentences. Describe only what the document actually says; do not speculate or add outside context.'
+SUMMARY_PROMPT = """'Tell in at most three sentences what the text below is about. Use nothing that it does not say itself.'
   || chr(10) || chr(10) || 'Title: ' || source || chr(10) || chr(10) || 'Document:' || chr(10) || text || chr(10) || chr(10) || 'Summary:'"""
 EXTRACT = "coalesce(c.summary, trim(substr(regexp_replace(d.text, '\\s+', ' ', 'g'), 1, 600)))"
 
@@ -419,6 +419,8 @@ SELECT doc_id, CAST(i // 3 + 1 AS INTEGER) AS paragraph, CAST(min(i + i // 3 + 1
 FROM numbered WHERE trim(l) <> '' GROUP BY doc_id, i // 3""",
     "budget_chunks": f"""WITH RECURSIVE {BUDGET} SELECT {EV_ID} AS id, 'doc_' || doc_id AS document_id, CAST(page AS INTEGER) AS page,
   line_start, line_end, CAST(length(snippet) AS INTEGER) AS chars, md5(snippet) AS snippet_md5 FROM chunks""",
+    "segmented_chunks": f"""WITH RECURSIVE {BUDGET} SELECT 'doc_' || doc_id AS document_id, CAST(ordinal AS BIGINT) AS ordinal,
+  CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, md5(snippet) AS snippet_md5 FROM chunks""",
     "paged_chunks": f"""WITH RECURSIVE {PAGED} SELECT {EV_ID} AS id, page, line_start, line_end, 'paragraph' AS anchor_quality,
   CASE WHEN page % 2 = 0 THEN 'tesseract' END AS ocr_engine, CASE WHEN page % 2 = 0 THEN round((doc_id % 100) / 100.0, 6) END AS ocr_confidence,
   md5(snippet) AS snippet_md5 FROM chunks""",

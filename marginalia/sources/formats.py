@@ -11,12 +11,15 @@ from marginalia.functions import text as tx
 from marginalia.functions.text import let
 
 # File extensions by family.
-CODE_EXTENSIONS = "ts tsx js jsx py java c cpp cc h hpp cs go rs sql css sh rb php kt swift".split()
-STRUCTURED_TEXT_EXTENSIONS = "json xml yaml yml".split()
-PLAIN_TEXT_EXTENSIONS = "txt md".split()
-IMAGE_EXTENSIONS = "png jpg jpeg webp tiff tif bmp".split()
-HTML_EXTENSIONS = "html htm".split()
-OFFICE_EXTENSIONS = "docx xlsx pptx".split()
+CODE_EXTENSIONS = [
+    "ts", "tsx", "js", "jsx", "py", "java", "c", "cpp", "cc", "h", "hpp",
+    "cs", "go", "rs", "sql", "css", "sh", "rb", "php", "kt", "swift",
+]
+STRUCTURED_TEXT_EXTENSIONS = ["json", "xml", "yaml", "yml"]
+PLAIN_TEXT_EXTENSIONS = ["txt", "md"]
+IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "webp", "tiff", "tif", "bmp"]
+HTML_EXTENSIONS = ["html", "htm"]
+OFFICE_EXTENSIONS = ["docx", "xlsx", "pptx"]
 TEXT_EXTENSIONS = CODE_EXTENSIONS + STRUCTURED_TEXT_EXTENSIONS + PLAIN_TEXT_EXTENSIONS
 SUPPORTED_EXTENSIONS = ["pdf", "csv", *OFFICE_EXTENSIONS, *HTML_EXTENSIONS, *TEXT_EXTENSIONS, *IMAGE_EXTENSIONS]
 PREVIEWABLE_EXTENSIONS = ["pdf", *IMAGE_EXTENSIONS]
