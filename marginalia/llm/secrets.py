@@ -1,22 +1,26 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame and SQL only.
 
-Candidates are runs of at least ``LEAST`` letters, digits, ``+``, ``/``, ``_`` and ``-`` with a digit among
-them, inside the words of a text (between ASCII white space). Their features: length; transitions between
-letters, digits and cases; vowels after consonants; how much of the run dictionary words cover; the path the
-document came from (length, digits, words such as test or example); and the neighbours: an assignment
-before it, a telling word before that, quotes around it.
+Candidates inside the words of a text (between ASCII white space) are runs of at least ``LEAST`` letters,
+digits, ``+``, ``/``, ``_`` and ``-`` with a digit among them; and, with or without digits and whatever other
+signs it holds, the value of at least ``LEAST_VALUE`` characters that is assigned to a telling name
+("password=...", "api_key : ..."). A value stands for the runs inside it. Their features: length; transitions
+between letters, digits and cases; vowels after consonants; other signs; how much of the candidate dictionary
+words cover; the path the document came from (length, digits, words such as test or example); and the
+neighbours: an assignment before it, a telling word before that, quotes around it.
 
 The dictionary is counted over all documents: purely alphabetic lower-case words of 3 to 12 letters in at
 least ``DICTIONARY_DOCS`` of them; only the words that some candidate contains are joined back.
 
-The forest is trained on labelled findings (doc_id, word, secret), at most ``TRAIN_FINDINGS`` of them, chosen
-by a hash. ``weak_labels`` makes such labels where a format decides by itself: 40 hexadecimal digits in quotes
-after an assignment are secrets; runs without letters, and runs that dictionary words cover to three
-quarters, are none. The forest never sees these rules' verdict, only the features.
+The forest is trained on labelled findings (doc_id, place, finding, secret), at most ``TRAIN_FINDINGS`` of
+them, chosen by a hash. ``weak_labels`` makes such labels where a format decides by itself: hexadecimal keys of
+either case in quotes after an assignment, keys with a known prefix, web tokens and mixed base64 values of
+telling names are secrets; runs without letters, runs that dictionary words cover to three quarters,
+paths and dates are none, unless they are assigned to a telling name. The forest never sees these rules' verdict, only
+the features.
 
 Defined cases: null and empty texts have no candidates; repeated rows are findings each; without labels of
 both kinds every score is the known kind's, or 0.5 without labels; empty tables give an empty result; other
-columns are ignored; a document without a path has an empty one.
+columns are ignored, also those of labels; a document without a path has an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import let
 from marginalia.llm.arrow import stored
 
-LEAST = 12
+LEAST, LEAST_VALUE = 12, 8
 DICTIONARY_DOCS = 5
 TRAIN_FINDINGS = 20_000
 TREES, DEPTH, SEED = 20, 6, 11
@@ -38,40 +42,57 @@ _RUN = "[A-Za-z0-9+/_-]"
 #: A run with a digit, from its first character, so that long words are read once.
 CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{{LEAST},}}+"
 TELLING = r"(?i)(token|secret|passw|pwd|api|key|auth|credential|bearer)"
+#: A telling name before an assignment, in one word; and over up to two blanks, to find texts worth splitting.
+_NAMED = r"(?i)(?:token|secret|passw|pwd|api|key|auth|credential|bearer)[^=:\x20\x09-\x0D]{0,64}+"
+_VALUE = rf"([^\"'`,;()<>\x20\x09-\x0D]{{{LEAST_VALUE},}})"
+IN_WORD = rf"{_NAMED}[=:]++[\"'`]*+{_VALUE}"
+NAMED_TEXT = rf"{_NAMED}[\x20\x09-\x0D]{{0,2}}+[=:]"
+ASSIGNING = r"[=:][\"'`]*$"
 SAMPLE_PATH = r"(?i)(test|example|sample|fixture|mock|doc)"
 
 FEATURES = (
-    "length digits uppers letter_digit digit_letter case_changes vowel_turns covered path_length path_digits path_sample "
+    "length digits uppers letter_digit digit_letter case_changes vowel_turns signs covered path_length path_digits path_sample "
     "assigned telling quoted word_rest"
 ).split()
 
 
+def _value(word: Column, before: Column, ahead: Column) -> Column:
+    """The value that a word assigns to a telling name, or that the words before it do; '' for none."""
+    here = F.regexp_extract(word, IN_WORD, 1)
+    named = before.rlike(ASSIGNING) & (before.rlike(TELLING) | ((F.length(before) <= 2) & ahead.rlike(TELLING)))
+    there = F.regexp_extract(word, rf"^[\"'`(<]*+{_VALUE}", 1)
+    return F.when(here != "", here).when(named, there).otherwise("")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, place, finding, before, ahead, word): a row per candidate; place counts words from 0."""
+    """(doc_id, path, place, word, before, ahead, finding): a row per candidate; place counts words from 0."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"),
         F.col("text").cast("string").alias("text"),
-    ).filter(F.col("text").rlike(CANDIDATE))
+    ).filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(NAMED_TEXT))
 
     def found(words: Column) -> Column:
+        def neighbour(i: Column, back: int) -> Column:
+            return F.when(i >= back, F.get(words, i - back)).otherwise("")
+
         marked = F.transform(
             words,
-            lambda word, i: F.when(
-                word.rlike(CANDIDATE),
-                F.struct(
-                    i.alias("place"),
-                    word.alias("word"),
-                    F.when(i > 0, F.get(words, i - 1)).alias("before"),
-                    F.when(i > 1, F.get(words, i - 2)).alias("ahead"),
-                ),
+            lambda word, i: F.struct(
+                i.alias("place"),
+                word.alias("word"),
+                neighbour(i, 1).alias("before"),
+                neighbour(i, 2).alias("ahead"),
+                _value(word, neighbour(i, 1), neighbour(i, 2)).alias("value"),
             ),
         )
-        return F.filter(marked, lambda x: x.isNotNull())
+        return F.filter(marked, lambda x: (x["value"] != "") | x["word"].rlike(CANDIDATE))
 
     words = F.split("text", r"[\x20\x09-\x0D]+")
     rows = rows.select("doc_id", "path", F.explode(let(words, found)).alias("c")).select("doc_id", "path", "c.*")
-    return rows.select("*", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("finding"))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda run: ~F.contains("value", run))
+    whole = F.when(F.col("value") != "", F.array("value")).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", "path", "place", "word", "before", "ahead", F.explode(F.concat(whole, runs)).alias("finding"))
 
 
 def dictionary(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -106,21 +127,42 @@ def featured(docs: DataFrame) -> DataFrame:
         share("[0-9](?=[A-Za-z])").alias("digit_letter"),
         share("[a-z](?=[A-Z])").alias("case_changes"),
         share("(?i)[b-df-hj-np-tv-z](?=[aeiou])").alias("vowel_turns"),
+        share(r"[^A-Za-z0-9]").alias("signs"),
         (F.coalesce("covered", F.lit(0)) / size).alias("covered"),
         F.length("path").cast("double").alias("path_length"),
         F.regexp_count("path", F.lit("[0-9]")).cast("double").alias("path_digits"),
         F.col("path").rlike(SAMPLE_PATH).cast("double").alias("path_sample"),
-        (before.rlike("[=:]$") | F.col("word").rlike("[=:]")).cast("double").alias("assigned"),
+        (before.rlike(ASSIGNING) | F.col("word").rlike("[=:]")).cast("double").alias("assigned"),
         (before.rlike(TELLING) | ahead.rlike(TELLING) | F.col("word").rlike(TELLING)).cast("double").alias("telling"),
         F.col("word").rlike("[\"'`]").cast("double").alias("quoted"),
         (F.length("word") - size).cast("double").alias("word_rest"),
     )
 
 
+#: Published forms of keys that their first characters give away.
+PREFIXED = (
+    "(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|AIza[A-Za-z0-9_-]{35}"
+    "|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{20,}"
+)
+WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+
+
 def weak_labels(found: DataFrame) -> DataFrame:
     """Candidates whose format decides by itself, with ``secret`` 1 or 0."""
-    secret = F.col("finding").rlike("^[0-9a-f]{40}$") & (F.col("quoted") == 1) & (F.col("assigned") == 1)
-    none = ~F.col("finding").rlike("[A-Za-z]") | (F.col("covered") >= 0.75)
+    finding = F.col("finding")
+    named = (F.col("assigned") == 1) & (F.col("telling") == 1)
+    quoted = (F.col("quoted") == 1) & (F.col("assigned") == 1)
+    hexadecimal = (finding.rlike("^(?:[0-9a-f]{40}|[0-9A-F]{40})$") & quoted) | (
+        finding.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") & quoted & named
+    )
+    mixed = finding.rlike("[a-z]") & finding.rlike("[A-Z]") & finding.rlike("[0-9]") & (F.col("covered") < 0.3)
+    base64 = finding.rlike("^[A-Za-z0-9+/]{20,}={0,2}$") & mixed & quoted & named
+    # A part of a web token counts by the word around it.
+    token = finding.rlike("^[A-Za-z0-9._-]+$") & F.col("word").rlike(WEB_TOKEN)
+    secret = hexadecimal | base64 | token | finding.rlike(f"^(?:{PREFIXED})$")
+    path = finding.rlike("/[^/]+/") & (F.col("covered") >= 0.5)
+    date = finding.rlike("^[12][0-9]{3}-[01][0-9]-[0-3][0-9](?:$|T)")
+    none = (~finding.rlike("[A-Za-z]") | (F.col("covered") >= 0.75) | path | date) & ~named
     labelled = found.withColumn("secret", F.when(secret, 1.0).when(none, 0.0))
     return labelled.filter("secret is not null")
 

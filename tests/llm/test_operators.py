@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import itertools
+import random
 import re
 import time
 import zlib
@@ -160,17 +161,98 @@ def test_forward_backward_sums_over_all_paths():
 # Secrets
 
 
-def test_secret_candidates_against_brute_force(corpus, edges):
-    run = "[A-Za-z0-9+/_-]"
-    for docs in (corpus, edges):
-        want = []
-        for i, text in texts_of(docs):
-            for place, word in enumerate(re.split("[\x20\x09-\x0d]+", text or "")):
-                want += [(i, place, x) for x in re.findall(f"{run}+", word) if len(x) >= 12 and re.search("[0-9]", x)]
+NAMES = "(?:token|secret|passw|pwd|api|key|auth|credential|bearer)"
+
+
+def brute_findings(text):
+    """(place, finding) by hand: runs with digits, and values assigned to telling names in place of their runs."""
+    words, found = re.split("[\x20\x09-\x0d]+", text or ""), []
+    for place, word in enumerate(words):
+        before = words[place - 1] if place else ""
+        ahead = words[place - 2] if place > 1 else ""
+        stop = "\"'`,;()<>"
+        value = ""
+        here = re.search(f"(?i){NAMES}[^=:]{{0,64}}[=:]+[\"'`]*([^{stop}]{{8,}})", word)
+        telling = re.search(f"(?i){NAMES}", before) or (len(before) <= 2 and re.search(f"(?i){NAMES}", ahead))
+        if here:
+            value = here[1]
+        elif telling and before.rstrip("\"'`")[-1:] in ("=", ":"):
+            there = re.match(f"[\"'`(<]*([^{stop}]{{8,}})", word)
+            value = there[1] if there else ""
+        runs = [x for x in re.findall("[A-Za-z0-9+/_-]+", word) if len(x) >= 12 and re.search("[0-9]", x)]
+        found += [(place, x) for x in [value] * bool(value) + [x for x in runs if x not in value]]
+    return found
+
+
+def planted_secrets(spark):
+    """Documents with keys of self-deciding formats, keys of other formats, and look-alikes, all marked by kind."""
+    rng, letters, digits = random.Random(3), "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    words = ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(80)]
+
+    def draw(signs, n):
+        return "".join(rng.choices(signs, k=n))
+
+    mixed = letters + letters.upper() + digits + "+/"
+    known = [
+        lambda: f'token = "{draw("0123456789abcdef", 40)}"',
+        lambda: f"SECRET_KEY='{draw('0123456789ABCDEF', 64)}'",
+        lambda: f"auth: {'AKIA' + draw(letters.upper() + digits, 16)}",
+        lambda: f"use ghp_{draw(letters + digits, 36)} here",
+        lambda: f"Bearer: eyJ{draw(mixed[:62], 20)}.eyJ{draw(mixed[:62], 40)}.{draw(mixed[:62], 30)}",
+        lambda: f'api_key = "{draw(mixed, 32)}"',
+    ]
+    other = [
+        lambda: f'password = "{draw(letters + letters.upper(), 14)}"',
+        lambda: f"PASSWORD={draw(letters, 6)}!{draw(letters, 5)}$%{draw(letters.upper(), 4)}",
+        lambda: f"secret: {draw(mixed[:52], 24)}",
+        lambda: f'api-token: "{"-".join(draw(letters.upper() + digits, 5) for _ in range(5))}"',
+    ]
+    clean = [
+        lambda: draw(digits, 16),
+        lambda: f"see 2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T10:{rng.randint(10, 59)}",
+        lambda: f"src/{'/'.join(rng.sample(words, 4))}2.py",
+        lambda: f"{'_'.join(rng.sample(words, 3))}_{rng.randint(1, 99)}",
+        lambda: f"id = {draw(digits, 14)}",
+    ]
+    kinds = {"known": known, "other": other, "clean": clean}
+    rows = []
+    for n in range(600):
+        kind = ("known", "other", "clean")[n % 3]
+        text = " ".join([*rng.sample(words, 12), rng.choice(kinds[kind])(), *rng.sample(words, 12)])
+        rows.append((n, text, "en", f"{kind}/src", len(text)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_secret_candidates_against_brute_force(spark, corpus, edges):
+    tricky = ["key", "key= key:", "password : " + "x" * 9, "a = secret_value_1", "key=" + "key" * 5000, "key" * 5000, "KEY==`abcdefgh1`", "token:short12 api = 'no'"]
+    tricky = spark.createDataFrame(list(enumerate(tricky)), "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    for docs in (corpus, edges, planted_secrets(spark), tricky):
+        want = [(i, *x) for i, text in texts_of(docs) for x in brute_findings(text)]
         got = secrets.candidates(docs).select("doc_id", "place", "finding").collect()
         assert bag(got) == sorted(want, key=repr)
 
 
+def test_secret_forest_finds_formats_it_has_no_label_for(spark):
+    docs = planted_secrets(spark)
+    found = secrets.featured(docs)
+    labelled = {r["doc_id"] for r in secrets.weak_labels(found).filter("secret = 1").collect()}
+    assert {i % 3 for i in labelled} == {0}
+    hits = {r["doc_id"] for r in secrets.secrets(docs.withColumn("path", F.lit("x")).withColumn("word", F.lit("y"))).filter("is_secret").collect()}
+    share = [sum(i % 3 == kind for i in hits) / 200 for kind in range(3)]
+    assert share[0] >= 0.95
+    assert share[1] >= 0.9
+    assert share[2] <= 0.05
+
+
+def test_secret_labels_given_with_clashing_columns(spark):
+    docs = planted_secrets(spark)
+    named = secrets.candidates(docs).select("doc_id", "place", "finding", F.when(F.col("path") == "clean/src", 0).otherwise(1).alias("secret"))
+    extra = named.select("*", *[F.lit("x").alias(c) for c in ("path", "word", "score", "before")])
+    got, want = (bag(secrets.secrets(docs, x).select("doc_id", "finding", "is_secret").collect()) for x in (extra, named))
+    assert got == want
+    assert sum(r[2] != (r[0] % 3 != 2) for r in got) <= 0.05 * len(got)
+
+
 def test_secret_forest_separates_and_is_native(corpus, edges, nothing):
     found = secrets.secrets(corpus.unionByName(edges.select(corpus.columns)))
     rows = found.collect()
