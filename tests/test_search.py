@@ -187,3 +187,50 @@ def test_vectors_first_then_keywords(spark):
     gone = near.filter(F.col("seq") != 99).withColumn("id", F.concat("id", F.lit("x")))
     stale = sr.retrieve(rows, queries, vectors=gone, query_vectors=asked)
     assert [c.id for c in stale.filter("query_id = 1").first().chunks] == ["ev_0_0001", "ev_2_0001"]
+
+
+def test_floors_and_bitmaps_match_brute_force(spark, monkeypatch):
+    from marginalia.operators import termbits
+
+    monkeypatch.setattr(keyword, "SEEDED", 1)
+    monkeypatch.setattr(keyword, "SEEDS", 30)
+    snippets = corpus(3, 700)
+    names = [f"file{n % 9} alpha.txt" if n % 2 else "über port.txt" for n in range(700)]
+    rows = evidence(spark, snippets, names).repartition(3)
+    words = ["alpha", "beta", "falcon", "record", "port", "amber", "stone", "été", "über", "the", "ile3", "rds", "none"]
+    rng = random.Random(4)
+    texts = [" ".join(rng.sample(words, rng.randint(0, 9))) for _ in range(60)] + [None]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    monkeypatch.setattr(termbits, "CHUNK", 7)
+    hits = keyword.keyword_search_batch(rows, queries).collect()
+    for n, query in enumerate(texts):
+        found = sorted((r.rank, r.id, r.match_score) for r in hits if r.query_id == n)
+        assert [(i, m) for _, i, m in found] == brute(snippets, names, query or ""), query
+
+
+def test_floors_leave_few_pairs_to_count(monkeypatch):
+    from marginalia.operators import termbits
+
+    rng = np.random.default_rng(5)
+    size = np.r_[np.full(64, 150), np.full(termbits.BLOCK - 64, 30)]
+    strong = [np.sort(rng.choice(300, n, replace=False)).astype(np.int32) for n in size]
+    none = [np.zeros(0, np.int32)] * len(size)
+    rows = termbits.Block(np.arange(len(size)), np.array([f"i{n}" for n in range(len(size))], object), strong, none)
+    asked = termbits.requests(list(range(200)), [[str(t) for t in rng.choice(300, 20, replace=False)] for _ in range(200)])
+    asked.tid = np.array([int(asked.terms[t]) for t in asked.tid], np.int32)
+    asked.terms = [str(t) for t in range(300)]
+    first = termbits.Block(rows.seq[:64], rows.ids[:64], strong[:64], none[:64])
+    asked.floor, asked.floor_seq = termbits.floors(asked, first, 12, range(200))
+    best = termbits.Best(asked, 12)
+    met = []
+    find = best._candidates
+    monkeypatch.setattr(best, "_candidates", lambda *a: met.append(find(*a)) or met[-1])
+    best.add(rows)
+    # The full scan met every pair of request and row.
+    assert sum(int(np.bitwise_count(m).sum()) for m in met) < 0.3 * 200 * len(size)
+    best._rank()
+    for slot in range(200):
+        own = set(asked.tid[asked.ptr[slot] : asked.ptr[slot + 1]].tolist())
+        want = sorted((-2 * len(own & set(s.tolist())), n) for n, s in enumerate(strong))[:12]
+        at = best.kept[0] == slot
+        assert list(zip((-best.kept[1][at]).tolist(), best.kept[2][at].tolist(), strict=True)) == want
