@@ -234,3 +234,18 @@ def test_floors_leave_few_pairs_to_count(monkeypatch):
         want = sorted((-2 * len(own & set(s.tolist())), n) for n, s in enumerate(strong))[:12]
         at = best.kept[0] == slot
         assert list(zip((-best.kept[1][at]).tolist(), best.kept[2][at].tolist(), strict=True)) == want
+
+
+def test_fields_and_texts_leave_out_what_nobody_reads(spark):
+    snippets = ["falcon one", "falcon ONE", "falcon two", "falcon", "falcon three", " \n", "falcon four"]
+    rows = evidence(spark, snippets)
+    queries = spark.createDataFrame([("q", "falcon"), ("none", "zzz")], "query_id string, query string")
+    whole = {r.query_id: r.chunks for r in sr.retrieve(rows, queries).collect()}
+    lean = {r.query_id: r.chunks for r in sr.retrieve(rows, queries, fields=("id", "snippet"), texts=3).collect()}
+    assert whole["none"] == lean["none"] == []
+    assert [c.snippet for c in whole["q"]] == ["falcon one", "falcon two", "falcon", "falcon three", "falcon four"]
+    assert [(c.id, c.snippet) for c in lean["q"]] == [(c.id, c.snippet if n < 3 else None) for n, c in enumerate(whole["q"])]
+    plan = sr.search(sr.retrieve(rows, queries, fields=("id", "document_name"))).select("query_id", "rank", "id", "document_name", "score")
+    assert [(r.rank, r.id, r.document_name) for r in plan.orderBy("rank").collect()] == [
+        (n + 1, c.id, c.document_name) for n, c in enumerate(whole["q"])
+    ]
