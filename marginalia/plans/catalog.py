@@ -364,8 +364,9 @@ def versioned_vectors(spark, sf_dir):
 def incremental_ingest(spark, sf_dir):
     """The corpus ingested by the stream into batch tables, then read back as current evidence."""
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    files = spark.readStream.schema("doc_id bigint, text string, source string").option("pathGlobFilter", "documents.parquet")
-    source = files.parquet(sf_dir)
+    files = spark.readStream.schema("doc_id bigint, text string, source string")
+    # A pattern, since the stream takes a plain path for a folder; the table may be one file or a folder of files.
+    source = files.parquet(f"{sf_dir}/documents.parque[t]")
     parsed = derive.parsed_stream(source)
     stream.start_ingest(parsed, root, f"{root}/checkpoint", once=True).awaitTermination()
     rows = stream.current_evidence(spark, root)

@@ -96,3 +96,17 @@ def test_shared_folder_comes_from_the_session():
     assert shared_dir(cluster) == "/shared/checkpoints" and cluster.made is None
     alone = Session(None)
     assert shared_dir(alone) == shared_dir(alone) == alone.made
+
+
+def test_corpus_stream_reads_one_file_or_a_folder_of_files(spark, tmp_path):
+    from marginalia.plans.catalog import QUERIES
+
+    rows = spark.createDataFrame([(n, LONG.format(n), "src") for n in range(6)], "doc_id bigint, text string, source string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    (file,) = (tmp_path / "part").glob("part-*.parquet")
+    (tmp_path / "one" / "documents.parquet").write_bytes(file.read_bytes())
+    for folder in ("one", "many"):
+        got = QUERIES["incremental_ingest"](spark, str(tmp_path / folder)).collect()
+        assert sorted(r.document_id for r in got) == [f"doc_{n}" for n in range(6)]
