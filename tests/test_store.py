@@ -49,6 +49,15 @@ def test_terms_inside_words_and_labels(spark, tmp_path):
     assert bag(postings.pruned_search(index, asked, f"{tmp_path}/search", 3)[0]) == want
 
 
+def test_requests_of_one_id_are_pooled(spark, tmp_path):
+    rows = evidence(spark, [f"falcon {'records' * (n % 2)} {'stay' * (n % 3)} {n}" for n in range(40)])
+    index = indexed(spark, rows, tmp_path)
+    texts = [(1, "falcon records"), (1, "records stay content"), (2, "stay"), (2, "stay"), (3, "stay"), (None, "falcon")]
+    asked = spark.createDataFrame(texts, "query_id int, query string")
+    want = bag(postings.index_search(index, asked.filter("query_id is not null"), 5))
+    assert bag(postings.pruned_search(index, asked, f"{tmp_path}/search", 5)[0]) == want
+
+
 def version(spark, sf_dir, root, batch, which, letters):
     stream.store_batch(root, embedder=derive.letter_model)(derive.edited_documents(spark, sf_dir, which, letters), batch)
 
