@@ -121,9 +121,9 @@ class CuckooFilter:
         return found
 
 
-def filled(keys: np.ndarray) -> CuckooFilter:
-    """A filter that holds these distinct keys; it takes twice the room where chance wants it."""
-    room = len(keys)
+def filled(keys: np.ndarray, room: int = 0) -> CuckooFilter:
+    """A filter that holds these distinct keys, with room for ``room``; it takes twice the room where chance wants it."""
+    room = max(room, len(keys))
     while True:
         made = CuckooFilter.sized(room)
         try:

@@ -42,6 +42,9 @@ MIN_CHARS = 10
 SHARD_DOCUMENTS = 16_384
 BATCHES = 3
 HOT_KEYS = 50_000
+#: Room of a filter that is built anew, and room to spare for batches that hold more keys than the first, by its keys.
+GROWTH = 2
+SPARE = 1.25
 
 REFERENCE = "shard int, hi long, lo long, doc_id long, held int"
 FILTER = "shard int, cells binary"
@@ -78,15 +81,18 @@ def references(docs: DataFrame) -> DataFrame:
 
 
 class LineStore:
-    """The versions below ``root``; ``shards`` is fixed for the life of the store."""
+    """The versions below ``root``; ``shards`` is fixed for the life of the store.
 
-    def __init__(self, spark: SparkSession, root: str, shards: int):
-        self.spark, self.root, self.shards, self.version = spark, root.rstrip("/"), shards, 0
+    The first batch's filters have room for ``batches`` times its keys, so that batches like it do not fill them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, shards: int, batches: int = 1):
+        self.spark, self.root, self.shards, self.batches, self.version = spark, root.rstrip("/"), shards, batches, 0
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, documents: int) -> LineStore:
-        """A new store for about this many documents."""
-        return cls(spark, root, max(4, -(-documents // SHARD_DOCUMENTS)))
+    def create(cls, spark: SparkSession, root: str, documents: int, batches: int = 1) -> LineStore:
+        """A new store for about this many documents, of which the first batch is one of ``batches``."""
+        return cls(spark, root, max(4, -(-documents // SHARD_DOCUMENTS)), batches)
 
     def _path(self, name: str, version: int | None = None) -> str:
         return f"{self.root}/v{version or self.version:06d}/{name}"
@@ -165,11 +171,12 @@ class LineStore:
             made.write.mode("overwrite").parquet(self._path("changed", version))
             made = self.spark.read.schema(FILTER).parquet(self._path("changed", version))
             full = made.filter("cells is null").select("shard")
-            # Shards without room are built anew, larger, from the exact references.
-            keys = self.live().select(*KEY).unionByName(keys).join(full, "shard", "left_semi").distinct()
-            made = made.filter("cells is not null").unionByName(keys.groupBy("shard").applyInPandas(_built, FILTER))
+            if not full.isEmpty():
+                # Shards without room are built anew, twice as large, from the exact references.
+                keys = self.live().select(*KEY).unionByName(keys).join(full, "shard", "left_semi").distinct()
+                made = made.filter("cells is not null").unionByName(keys.groupBy("shard").applyInPandas(_built_for(GROWTH), FILTER))
         else:
-            made = keys.groupBy("shard").applyInPandas(_built, FILTER)
+            made = keys.groupBy("shard").applyInPandas(_built_for(self.batches * SPARE if self.batches > 1 else 1), FILTER)
         made.write.mode("overwrite").parquet(self._path("filters", version))
 
     def dropped(self, docs: DataFrame, totals: DataFrame) -> DataFrame:
@@ -199,15 +206,20 @@ def _probe(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     return keys[["shard", "hi", "lo"]].assign(perhaps=perhaps)
 
 
-def _built(keys: pd.DataFrame) -> pd.DataFrame:
-    made = filled(_array(keys))
-    return pd.DataFrame({"shard": keys["shard"].iloc[:1], "cells": [made.to_bytes()]})
+def _built_for(times: float):
+    """Builds a shard's filter with room for that many times its keys."""
+
+    def built(keys: pd.DataFrame) -> pd.DataFrame:
+        made = filled(_array(keys), int(times * len(keys)))
+        return pd.DataFrame({"shard": keys["shard"].iloc[:1], "cells": [made.to_bytes()]})
+
+    return built
 
 
 def _grown(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     """The shard's filter with these keys; null cells if they do not fit."""
     if not len(old):
-        return _built(keys)
+        return _built_for(GROWTH)(keys)
     if not len(keys):
         return old
     made = CuckooFilter.from_bytes(old["cells"].iloc[0])
@@ -267,7 +279,7 @@ def deduplicated(docs: DataFrame, store: LineStore | None = None, keep: tuple[st
     if store is not None and store.version:
         totals = store.insert(docs)
         return rewritten(docs, store.dropped(store.batch(), totals), keep)
-    store = store or LineStore.create(spark, shared_path(spark, "lines"), docs.count())
+    store = store or LineStore.create(spark, shared_path(spark, "lines"), docs.count(), batches)
     ids = F.col("doc_id").cast("long")
     shares = [i / batches for i in range(1, batches)]
     cuts = sorted(set(docs.select(ids.cast("double").alias("id")).approxQuantile("id", shares, 0.01))) if shares else []
