@@ -1,4 +1,7 @@
-"""Near copies by word shingles: MinHash bands join candidates, exact Jaccard similarities link them.
+"""Near copies by SimHash fingerprints, and by word shingles: MinHash bands join candidates, exact Jaccard similarities link them.
+
+Texts whose fingerprints differ in at most two bits are linked as in ``simhash``. Fingerprints of texts with a few edited words
+differ in more bits, so the following links are added to those.
 
 Words are those of ``simhash``; a text is the set of its shingles of ``SHINGLE`` words (fewer words make one,
 none make the empty set). Texts of the same words are one node. Nodes are linked from a Jaccard similarity of
@@ -12,7 +15,8 @@ member outside the crowd's largest component meets, by an exact prefix-filter jo
 What two members of one component might still share adds nothing, and every other link has an end outside the largest
 component, so components are those of all pairs. A prefix is the rarest fifth of a text's shingles: two sets of similarity 0.8
 share a shingle there under any order that is the same for all; the order here is by counters of fixed number
-(``COUNTERS``), summed over the crowds' texts and broadcast.
+(``COUNTERS``), summed over the crowds' texts and broadcast. Two sets that share at least a number of shingles share one among
+the rarest (size - number + 1) of each, so the join takes no shingle of a pair beyond these.
 
 Defined cases: null and empty texts are one node, without a text close to it; rows of one id with different
 texts, and rows without id, are told apart by ``row``; an empty table gives an empty result.
@@ -29,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm import simhash
 from marginalia.llm.arrow import slices, stored
 from marginalia.llm.components import components
 
@@ -75,8 +80,9 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         texts = _lowered(part)
         nodes = pa.array([_node(t) for t in texts], pa.int64())
+        prints = pa.array(np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64))
         keys = pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], nodes, keys], ["doc_id", "row", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], nodes, prints, keys], ["doc_id", "row", "node", "print", "bands"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +96,16 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64("text", "lang", "source"))
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes (node, print): all of one fingerprint with its smallest, and those of close fingerprints."""
+    classes = stored(nodes.groupBy("print").agg(F.min("node").alias("least")), "classes")
+    same = nodes.join(classes, "print").filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    close = simhash.links(classes.select("print")).withColumnsRenamed({"u": "a", "v": "b"})
+    close = close.join(classes.select(F.col("print").alias("a"), F.col("least").alias("u")), "a")
+    close = close.join(classes.select(F.col("print").alias("b"), F.col("least").alias("v")), "b")
+    return same.unionByName(close.select("u", "v"))
+
+
 def banded(nodes: DataFrame) -> DataFrame:
     """(key, band, node, n, least, other) of the nodes (node, first, bands) that share a band: its size and leaders."""
     keyed = nodes.select("node", "first", F.posexplode("bands").alias("band", "key"))
@@ -134,7 +150,9 @@ def _prefixes(shared):
                 size = len(own) - int(np.ceil(LEAST * len(own) - 1e-9)) + 1 if len(own) else 0
                 found = own[np.lexsort((own, counts[_slots(own)]))[:size]]
                 fixed = [pa.array([x] * size) for x in (node, outer, component, len(own))]
-                yield pa.RecordBatch.from_arrays([pa.array(found), *fixed], ["shingle", "node", "outer", "component", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), *fixed, pa.array(np.arange(size))], ["shingle", "node", "outer", "component", "size", "at"]
+                )
 
     return run
 
@@ -155,11 +173,15 @@ def crowd_candidates(keyed: DataFrame, found: DataFrame, texts: DataFrame) -> Da
         counts[row["slot"]] = row["n"]
     shared = keyed.sparkSession.sparkContext.broadcast(counts)
     rows = sets.join(members, "node").select("node", "outer", "component", "own")
-    rows = rows.mapInArrow(_prefixes(shared), "shingle long, node long, outer boolean, component long, size long")
+    rows = rows.mapInArrow(_prefixes(shared), "shingle long, node long, outer boolean, component long, size long, at long")
     rows = stored(rows, "prefixes")
-    a = rows.filter("outer").select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
-    b = rows.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+    own = [F.col("node"), F.col("component"), F.col("size"), F.col("at")]
+    a = rows.filter("outer").select("shingle", *[c.alias(n) for c, n in zip(own, ("a", "ca", "na", "pa"), strict=True)])
+    b = rows.select("shingle", *[c.alias(n) for c, n in zip(own, ("b", "cb", "nb", "pb"), strict=True)])
     near = (F.col("na") >= LEAST * F.col("nb")) & (F.col("nb") >= LEAST * F.col("na"))
+    # The shingles that both must hold, and the places at which the first common one can be.
+    least = F.ceil(LEAST / (1 + LEAST) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = near & (F.col("pa") + least <= F.col("na")) & (F.col("pb") + least <= F.col("nb"))
     pairs = a.join(b, "shingle").filter((F.col("ca") != F.col("cb")) & near)
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
@@ -179,9 +201,10 @@ def kept(docs: DataFrame) -> DataFrame:
     """One row (columns of ``docs``) per component: that of the smallest id; rows without an id come last."""
     keyed = with_row(docs)
     rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("string").alias("text"))
-    rows = stored(rows.mapInArrow(_signed, "doc_id long, row long, node long, bands array<long>"), "signed")
+    rows = stored(rows.mapInArrow(_signed, "doc_id long, row long, node long, print long, bands array<long>"), "signed")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    nodes = stored(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("bands").alias("bands")), "nodes")
+    one = [F.min(first).alias("first"), F.first("print").alias("print"), F.first("bands").alias("bands")]
+    nodes = stored(rows.groupBy("node").agg(*one), "nodes")
     keyed_bands = banded(nodes)
     pairs = stored(candidates(keyed_bands), "candidates")
 
@@ -193,7 +216,8 @@ def kept(docs: DataFrame) -> DataFrame:
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
-    links = stored(linked(pairs, texts_of(ends(pairs))), "links")
+    links = linked(pairs, texts_of(ends(pairs))).unionByName(fingerprint_links(nodes.select("node", "print")))
+    links = stored(links, "links")
     found = components(links)
     crowded = keyed_bands.filter(F.col("n") > CROWD).select("node").distinct()
     more = crowd_candidates(keyed_bands, found, texts_of(crowded))
