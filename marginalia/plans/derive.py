@@ -16,6 +16,8 @@ from marginalia.session import spread
 from marginalia.sources import formats as fm
 
 LINES_PER_PAGE = 10
+#: Documents whose words one task groups; sorting them stays in memory.
+DOCUMENTS_PER_PART = 2000
 EXTENSIONS = ("txt", "md", "pdf", "csv", "png", "docx", "py", "exe")
 MIXED = ("docx", "xlsx", "pptx", "txt", "csv", "pdf", "exe")
 
@@ -300,11 +302,17 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as recognised words: five lines to a paragraph, forty to a page."""
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    exploded = lines.select("doc_id", "line", F.posexplode(F.split("body", " ")).alias("n", "text"))
+    """The corpus as recognised words: five lines to a paragraph, forty to a page.
+
+    Texts are dealt by document before they are taken apart, so that grouping by document, page and line moves no words.
+    """
+    rows = table(spark, sf_dir, "documents", "doc_id", "text")
+    parts = max(spark.sparkContext.defaultParallelism * 2, -(-rows.count() // DOCUMENTS_PER_PART))
+    rows = rows.select(document_id().alias("document_id"), "text").repartition(parts, "document_id")
+    lines = rows.select("document_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    exploded = lines.select("document_id", "line", F.posexplode(F.split("body", " ")).alias("n", "text"))
     return exploded.select(
-        document_id().alias("document_id"),
+        "document_id",
         (F.floor(F.col("line") / 40) + 1).cast("int").alias("page_number"),
         F.lit(1).alias("block_num"),
         F.floor(F.col("line") / 5).cast("int").alias("par_num"),
