@@ -13,7 +13,8 @@ query first, takes the k-th score found there as the query's limit, and then sco
 limit. Results equal ``vector_search_batch`` on the same vectors: nothing is approximated, the centres decide the work only.
 
 Requests are a table like any other. They meet the centres in the tasks (at most ``cells`` rows, a parameter), blocks by an
-equi-join on narrow rows, and vectors by a shuffle on (cell, block), in which a task holds one block at a time.
+equi-join on narrow rows, and vectors by a shuffle on stretches of 2 ** ``STRETCH_BITS`` blocks: a query's vector is sent
+once per stretch with the list of its blocks there, and a task holds one stretch at a time.
 
 Defined cases: null vectors and those with a null or NaN component take no part, as rows or as queries; a zero vector has
 a cell of its own (``ZERO``) and score 0 with everything; vectors of different length raise; query ids are unique; an
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +44,9 @@ FITTED = 64
 #: A block holds at most 2 ** BLOCK_BITS members.
 BLOCK_BITS = 10
 BLOCK = 1 << BLOCK_BITS
+#: Blocks that are dealt together, as a power of two, and the tasks that share the queries of such a stretch.
+STRETCH_BITS = 5
+SHARES = 4
 #: Blocks of a query whose scores set its limit.
 SEEDS = 2
 #: The cell of zero vectors.
@@ -138,7 +143,7 @@ def build_cells(vectors: DataFrame, root: str, cells: int = CELLS) -> None:
 
 
 def _met(queries: DataFrame, cells: list, limit: int, first: bool) -> DataFrame:
-    """(query_id, unit, least, cell, angle): the cells of each query, whose angle is null where a side is a zero vector.
+    """(query_id, ask, least, cell, angle): the cells of each query, whose angle is null where a side is a zero vector.
 
     At first these are the nearest cells which hold ``limit`` members, then all whose bound reaches ``least``.
     """
@@ -175,15 +180,34 @@ def _met(queries: DataFrame, cells: list, limit: int, first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["query_id"].take(pa.array(row)),
-                    _lists(units[row]),
+                    batch["ask"].take(pa.array(row)),
                     pa.array(least[row]),
                     pa.array(numbers[column]),
                     pa.array(angle, mask=np.isnan(angle)),
                 ],
-                ["query_id", "unit", "least", "cell", "angle"],
+                ["query_id", "ask", "least", "cell", "angle"],
             )
 
-    return queries.mapInArrow(run, f"query_id {kind}, unit array<double>, least double, cell int, angle double")
+    return queries.mapInArrow(run, f"query_id {kind}, ask bigint, least double, cell int, angle double")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """The usable queries (query_id, ask, embedding); ``ask`` tells queries that share an id, or have none, apart."""
+    asked = _usable(queries.select("query_id", "embedding"))
+    asked = asked.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return asked.select("query_id", F.xxhash64("query_id", "embedding").alias("ask"), "embedding")
+
+
+def _with_units(queries: DataFrame) -> DataFrame:
+    """The different queries (query_id, ask, unit)."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch["query_id"], batch["ask"], _lists(_units(batch["embedding"], None))], ["query_id", "ask", "unit"])
+
+    return queries.dropDuplicates(["query_id", "ask"]).mapInArrow(run, f"query_id {kind}, ask bigint, unit array<double>")
 
 
 def _bound() -> Column:
@@ -192,16 +216,22 @@ def _bound() -> Column:
     return F.when(F.col("angle").isNull(), 0.0).otherwise(F.cos(gap)) + SLACK
 
 
-def _scored(pairs: DataFrame, members: DataFrame, limit: int) -> DataFrame:
-    """(query_id, score, seq, id): of every pair of query and block the best members that reach ``least``.
+def _scored(pairs: DataFrame, queries: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """(query_id, score, seq, id): of every pair (query_id, ask, least, cell, block) the best members that reach ``least``.
 
-    Both sides are dealt by block and sorted, members first: a task holds one block and a slice of its queries.
+    Members and ``queries`` (query_id, ask, unit) are dealt by stretch and sorted, members first: a task holds one stretch and a
+    slice of a share of its queries.
     """
     kind = pairs.schema["query_id"].dataType.simpleString()
+    stretch = F.shiftright("block", STRETCH_BITS).alias("stretch")
     needed = members.join(pairs.select("cell", "block").distinct(), ["cell", "block"], "left_semi")
-    rows = needed.select("cell", "block", F.lit(0).alias("side"), "seq", "id", "unit").unionByName(
-        pairs.select("cell", "block", F.lit(1).alias("side"), "query_id", "least", "unit"), allowMissingColumns=True
-    )
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    needed = needed.select(stretch, shares, F.lit(0).alias("side"), "cell", "block", "seq", "id", "unit")
+    lists = pairs.groupBy("query_id", "ask", "least", stretch).agg(F.collect_list(F.struct("cell", "block")).alias("blocks"))
+    share = F.pmod(F.xxhash64("query_id"), F.lit(SHARES)).cast("int").alias("share")
+    units = queries.withColumnRenamed("query_id", "own_id")
+    lists = lists.join(units, "ask").filter(F.col("query_id").eqNullSafe(F.col("own_id"))).select("stretch", share, F.lit(1).alias("side"), "query_id", "least", "unit", "blocks")
+    rows = needed.unionByName(lists, allowMissingColumns=True)
 
     def best(asked: pa.RecordBatch, units: np.ndarray, seq: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         score = np.round(_flat(asked["unit"], units.shape[1]) @ units.T, SCORE_DIGITS)
@@ -227,31 +257,45 @@ def _scored(pairs: DataFrame, members: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int] | None = None
         parts: list[pa.RecordBatch] = []
-        block: tuple | None = None
+        blocks: dict | None = None
         for batch in batches:
-            keys = np.stack([batch["cell"].to_numpy().astype(np.int64), batch["block"].to_numpy(), batch["side"].to_numpy().astype(np.int64)])
+            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("stretch", "share", "side")])
             edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
                 if start == end:
                     continue
                 key, part = (int(keys[0, start]), int(keys[1, start])), batch.slice(start, end - start)
                 if key != held:
-                    held, parts, block = key, [], None
+                    held, parts, blocks = key, [], None
                 if keys[2, start] == 0:
                     parts.append(part)
                     continue
                 if not parts:
                     continue
-                if block is None:
-                    width = len(parts[0]["unit"][0])
-                    units = np.concatenate([_flat(p["unit"], width) for p in parts])
-                    seq = np.concatenate([p["seq"].to_numpy() for p in parts])
-                    ids = np.asarray([i for p in parts for i in p["id"].to_pylist()], dtype=object)
-                    block = units, seq, ids
+                if blocks is None:
+                    blocks = by_block(parts)
                 for at in range(0, part.num_rows, QUERIES):
-                    yield best(part.slice(at, QUERIES), *block)
-
-    dealt = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
+                    asked = part.slice(at, QUERIES)
+                    wanted = asked["blocks"].flatten()
+                    owner = pc.list_parent_indices(asked["blocks"]).to_numpy()
+                    pairs = np.stack([wanted.field("cell").to_numpy().astype(np.int64), wanted.field("block").to_numpy()])
+                    asked = asked.select(["query_id", "least", "unit"])
+                    for block, members in blocks.items():
+                        own = owner[(pairs == np.array(block)[:, None]).all(axis=0)]
+                        if own.size:
+                            yield best(asked.take(pa.array(own)), *members)
+
+    def by_block(parts: list[pa.RecordBatch]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The members (unit, seq, id) of every block of a stretch, which are sorted by block."""
+        width = len(parts[0]["unit"][0])
+        units = np.concatenate([_flat(p["unit"], width) for p in parts])
+        cell, block, seq = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("cell", "block", "seq"))
+        ids = np.asarray([i for p in parts for i in p["id"].to_pylist()], dtype=object)
+        starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])))
+        runs = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(seq)), strict=True)]
+        return {(int(cell[r.start]), int(block[r.start])): (units[r], seq[r], ids[r]) for r in runs}
+
+    dealt = rows.repartition("stretch", "share").sortWithinPartitions("stretch", "share", "side", "cell", "block")
     return dealt.mapInArrow(run, f"query_id {kind}, score double, seq bigint, id string")
 
 
@@ -267,24 +311,23 @@ def wanted_blocks(
     min_similarity: float = DEFAULTS.min_similarity,
     scope: list[str] | DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, unit, least, cell, block, n): the blocks of n members that may hold a hit scoring ``least`` or more."""
+    """(query_id, ask, least, cell, block, n): the blocks of n members that may hold a hit scoring ``least`` or more."""
     cells = spark.read.schema(CENTRES).parquet(f"{root}/centres").orderBy("cell").collect()  # at most CELLS + 1 rows
     blocks = spark.read.schema(BLOCKS).parquet(f"{root}/blocks")
     members = in_scope(spark.read.schema(MEMBERS).parquet(f"{root}/members"), scope)
-    asked = _usable(queries.select("query_id", "embedding"))
-    asked = asked.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = _asked(queries)
 
     floor = asked.withColumn("least", F.lit(float(min_similarity)))
     seeds = _met(floor, cells, limit, first=True).join(blocks, "cell").withColumn("bound", _bound())
     seeds = top_k_per(seeds, "query_id", [F.col("bound").desc(), F.col("cell"), F.col("block")], SEEDS)
-    found = top_k_per(_scored(seeds, members, limit), "query_id", [F.col("score").desc(), F.col("seq")], limit)
+    found = top_k_per(_scored(seeds, _with_units(asked), members, limit), "query_id", [F.col("score").desc(), F.col("seq")], limit)
     limits = found.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
     limits = limits.filter(F.col("found") >= limit).select("query_id", "kth")
     known = asked.join(limits, "query_id", "left").select(
-        "query_id", "embedding", F.coalesce("kth", F.lit(float(min_similarity))).alias("least")
+        "query_id", "ask", "embedding", F.coalesce("kth", F.lit(float(min_similarity))).alias("least")
     )
     pairs = _met(known, cells, limit, first=False).join(blocks, "cell").filter(_bound() >= F.col("least"))
-    return pairs.select("query_id", "unit", "least", "cell", "block", "n")
+    return pairs.select("query_id", "ask", "least", "cell", "block", "n")
 
 
 def cell_search_batch(
@@ -301,5 +344,5 @@ def cell_search_batch(
     """
     pairs = wanted_blocks(spark, root, queries, limit, min_similarity, scope)
     members = in_scope(spark.read.schema(MEMBERS).parquet(f"{root}/members"), scope)
-    ranked = top_k_per(_scored(pairs, members, limit), "query_id", [F.col("score").desc(), F.col("seq")], limit)
+    ranked = top_k_per(_scored(pairs, _with_units(_asked(queries)), members, limit), "query_id", [F.col("score").desc(), F.col("seq")], limit)
     return ranked.select("query_id", "rank", F.least("score", F.lit(1.0)).alias("score"), "seq", "id")
