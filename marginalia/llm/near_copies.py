@@ -1,7 +1,7 @@
-"""Near copies by SimHash fingerprints, and by word shingles: MinHash bands join candidates, exact Jaccard similarities link them.
+"""Near copies by SimHash fingerprints and MinHash bands, which join candidates; exact Jaccard similarities link them.
 
-Texts whose fingerprints differ in at most two bits are linked as in ``simhash``. Fingerprints of texts with a few edited words
-differ in more bits, so the following links are added to those.
+Texts whose fingerprints differ in at most two bits are candidates as in ``simhash``. Fingerprints of texts with a few edited
+words differ in more bits, so bands add the rest.
 
 Words are those of ``simhash``; a text is the set of its shingles of ``SHINGLE`` words (fewer words make one,
 none make the empty set). Texts of the same words are one node. Nodes are linked from a Jaccard similarity of
@@ -206,7 +206,8 @@ def kept(docs: DataFrame) -> DataFrame:
     one = [F.min(first).alias("first"), F.first("print").alias("print"), F.first("bands").alias("bands")]
     nodes = stored(rows.groupBy("node").agg(*one), "nodes")
     keyed_bands = banded(nodes)
-    pairs = stored(candidates(keyed_bands), "candidates")
+    pairs = candidates(keyed_bands).unionByName(fingerprint_links(nodes.select("node", "print"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = stored(pairs.distinct(), "candidates")
 
     def texts_of(asked: DataFrame) -> DataFrame:
         named = nodes.join(asked, "node", "left_semi").select("node", F.col("first.doc_id").alias("own_id"), F.col("first.row").alias("row"))
@@ -216,8 +217,7 @@ def kept(docs: DataFrame) -> DataFrame:
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
-    links = linked(pairs, texts_of(ends(pairs))).unionByName(fingerprint_links(nodes.select("node", "print")))
-    links = stored(links, "links")
+    links = stored(linked(pairs, texts_of(ends(pairs))), "links")
     found = components(links)
     crowded = keyed_bands.filter(F.col("n") > CROWD).select("node").distinct()
     more = crowd_candidates(keyed_bands, found, texts_of(crowded))

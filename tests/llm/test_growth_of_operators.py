@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from marginalia.llm import line_dedup, near_copies
+from marginalia.llm import line_dedup, near_copies, simhash
 
 
 def test_later_batches_fit_the_first_ones_filters(spark, tmp_path):
@@ -17,12 +17,13 @@ def test_later_batches_fit_the_first_ones_filters(spark, tmp_path):
         assert changed.count() == 4 and changed.filter("cells is null").isEmpty()
 
 
-def test_close_fingerprints_are_near_copies(spark):
+def test_close_fingerprints_are_candidates(spark):
     base = " ".join(f"w{n}" for n in range(101))
     more = " ".join(f"x{n}" for n in range(40))
     docs = [(1, " ".join([base] * 30)), (2, " ".join([base] * 30 + [more])), (3, more)]
-    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string")
-    assert {r["doc_id"] for r in near_copies.kept(rows).collect()} == {1, 3}
+    prints = np.array([simhash.fingerprint(t.encode()) for _, t in docs], np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, x) for (i, _), x in zip(docs, prints, strict=True)], "node long, print long")
+    assert {frozenset(r) for r in near_copies.fingerprint_links(nodes).collect()} == {frozenset((1, 2))}
 
 
 def test_prefixes_of_a_pair_share_a_shingle():
