@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from marginalia.config import Settings
 from marginalia.operators import cells, ocr, topk, vector
 from marginalia.plans import derive, search
 from marginalia.sources import parsers, tables
@@ -83,3 +84,33 @@ def test_queries_of_one_id_keep_their_own_hits(spark, tmp_path):
     want = vector.vector_search_batch(vectors, asked, min_similarity=0.0)
     got = cells.cell_search_batch(spark, str(tmp_path), asked, min_similarity=0.0)
     assert sorted(r[:4] for r in got.collect()) == sorted(r[:4] for r in want.collect())
+
+
+def test_queries_above_the_bound_stay_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{n}", n, "d", rng.integers(0, 4, 3).astype(float).tolist()) for n in range(300)]
+    vectors = spark.createDataFrame(rows, "id string, seq bigint, document_id string, embedding array<float>")
+    asked = vectors.selectExpr("seq % 90 AS query_id", "embedding").repartition(3)
+    want = vector.vector_search_batch(vectors, asked, min_similarity=0.5).collect()
+    monkeypatch.setattr(vector, "GROUP", 100)
+    read, collect = [], type(asked).collect
+    monkeypatch.setattr(type(asked), "collect", lambda rows: read.append(collect(rows)) or read[-1])
+    found = vector.vector_search_batch(vectors, asked, min_similarity=0.5, settings=Settings(queries_per_scan=16))
+    # The driver reads no more queries than it takes to see that they are many.
+    assert sum(map(len, read)) <= 17
+    assert sorted(collect(found)) == sorted(want) and len({r["query_id"] for r in want}) == 90
+
+
+def test_few_better_scores_are_merged_in_order():
+    rng = np.random.default_rng(1)
+    score, seq = rng.integers(0, 40, size=(20, 6000)) / 40, rng.permutation(6000)
+    best, merged = topk._Best(20, 12, 12), []
+    merge = best._merge
+    best._merge = lambda *given: merged.append(1) or merge(*given)
+    for start in range(0, 6000, 500):
+        part = slice(start, start + 500)
+        best.add(score[:, part], seq[part], np.array([f"v{s}" for s in seq[part]], object), 0.35)
+    assert len(merged) > 5
+    for q in range(20):
+        order = np.lexsort((seq, -score[q]))[:12]
+        assert best.seq[q].tolist() == seq[order].tolist() and best.id[q].tolist() == [f"v{s}" for s in seq[order]]
