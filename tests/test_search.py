@@ -249,3 +249,40 @@ def test_fields_and_texts_leave_out_what_nobody_reads(spark):
     assert [(r.rank, r.id, r.document_name) for r in plan.orderBy("rank").collect()] == [
         (n + 1, c.id, c.document_name) for n, c in enumerate(whole["q"])
     ]
+
+
+def test_each_word_is_looked_through_once(monkeypatch):
+    from marginalia.operators import termbits
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(60)] + ["a" * 500]
+    terms = sorted({"".join(rng.choices("abé", k=rng.randint(3, 4))) for _ in range(40)})
+    texts = [rng.choice([" ", "\n", " ", "\x1d "]).join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(300)] + [None, ""]
+    labels = [rng.choice([None, "", "abab content", "bé aab"]) for _ in texts]
+    columns = [pa.array([f"i{n}" for n in range(len(texts))]), pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts), pa.array(labels)]
+    batch = pa.RecordBatch.from_arrays(columns, ["id", "seq", "snippet_lower", "label_lower"])
+    for bound, remembered in ((1 << 22, 1 << 19), (200, 20)):
+        monkeypatch.setattr(termbits, "PART_BYTES", bound)
+        monkeypatch.setattr(termbits, "REMEMBERED", remembered)
+        find, seen = keyword._word_finder(terms), []
+        finder = termbits.Words(lambda some, find=find, seen=seen: seen.extend(some) or find(some))
+        blocks = list(termbits.found_rows([batch, batch.slice(0, 0)], finder, len(terms)))
+        assert remembered < 100 or len(seen) == len(set(seen))
+        strong, weak = (sum((getattr(b, kind) for b in blocks), []) for kind in ("strong", "weak"))
+        assert [i for b in blocks for i in b.ids] == columns[0].to_pylist() and blocks[0].seq[0] == termbits.FIRST
+        for text, label, own, named in zip(texts, labels, strong, weak, strict=True):
+            held = {n for n, t in enumerate(terms) if t in (text or "")}
+            assert sorted(held) == own.tolist()
+            assert sorted({n for n, t in enumerate(terms) if t in (label or "")} - held) == named.tolist()
+    assert [len(r) for b in termbits.found_rows([batch], termbits.Words(keyword._word_finder([])), 0) for r in b.strong] == [0] * len(texts)
+
+
+def test_counts_of_64_rows_at_a_time():
+    from marginalia.operators import termbits
+
+    rng = np.random.default_rng(7)
+    bits = rng.integers(0, 2, size=(37, 50, 64)).astype(np.uint8)
+    packed = [np.packbits(b, axis=1, bitorder="little").view(np.uint64)[:, 0] for b in bits]
+    count, least = bits.sum(axis=0), rng.integers(-1, 70, 50)
+    got = termbits._at_least(termbits._counted(packed), least)
+    assert (np.unpackbits(got[:, None].view(np.uint8), axis=1, bitorder="little") == (count >= least[:, None])).all()
