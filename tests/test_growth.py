@@ -7,6 +7,7 @@ import pytest
 from marginalia.config import Settings
 from marginalia.operators import cells, ocr, topk, vector
 from marginalia.plans import derive, search
+from marginalia.plans.catalog import QUERIES
 from marginalia.sources import parsers, tables
 
 
@@ -114,3 +115,12 @@ def test_few_better_scores_are_merged_in_order():
     for q in range(20):
         order = np.lexsort((seq, -score[q]))[:12]
         assert best.seq[q].tolist() == seq[order].tolist() and best.id[q].tolist() == [f"v{s}" for s in seq[order]]
+
+
+@pytest.mark.parametrize("name", ["search_results", "first_hits", "citation_pages"])
+def test_texts_are_parsed_once(spark, sf_dir, monkeypatch, name):
+    before = plan(derive.documents(spark, sf_dir)).count("FileScan")
+    kept, keep = [], search.store.keep
+    monkeypatch.setattr(search.store, "keep", lambda rows, path: kept.append(plan(rows)) or keep(rows, path))
+    found = QUERIES[name](spark, sf_dir)
+    assert sum("/documents.parquet" in line for text in [*kept, plan(found)] for line in text.split("\n") if "FileScan" in line) == before
