@@ -88,3 +88,16 @@ def test_versions_deletions_and_compaction(spark, sf_dir, tmp_path):
     stream.compact(spark, root)
     assert len(bag(stream.current_vectors(spark, root).select("id"))) == len(left) + 1
     assert store.compaction(spark, root)[2] == 3
+
+
+def test_batch_search_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    rows = evidence(spark, ["red fox", "blue whale", "red wolf"]).unionByName(evidence(spark, ["grey wolf"]))
+    index = indexed(spark, rows, tmp_path)
+    kept, keep = [], postings.store.keep
+    monkeypatch.setattr(postings.store, "keep", lambda rows, path: kept.append(rows._jdf.queryExecution().executedPlan().toString()) or keep(rows, path))
+    asked = spark.createDataFrame([(1, "fox wolf")], "query_id bigint, query string")
+    hits = postings.pruned_search(index, asked, f"{tmp_path}/search", 3)[0]
+    # The rows that share an id are one row, with the words of both.
+    found = [(r["query_id"], r["rank"], r["id"], r["match_score"]) for r in hits.orderBy("rank").collect()]
+    assert bag(hits) == bag(postings.index_search(index, asked, 3)) and found == [(1, 1, "ev_0_0001", 4), (1, 2, "ev_2_0001", 2)]
+    assert not any("/postings" in text for text in kept)
